@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,8 +221,6 @@ def predict(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.2) -> DataFrame:
     """The documents whose language is known: predicted, and not unlike every family. All columns stay."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def known(column: pd.Series) -> pd.Series:
         names, scores = model.predict([(x or "").encode() for x in column])
