@@ -38,7 +38,7 @@ from spindrift.llm.columns import id_bucket, texts
 
 FOLDS, HELD, DEV = 10, 0, 1
 ADD = 0.1
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 #: Distinct n-grams, about, that meet in one task.
 RANGE_KEYS = 2_000_000
 BUCKETS = 40
