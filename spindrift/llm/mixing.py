@@ -16,6 +16,7 @@ of them is taken at the cut is then open, but not how many tokens.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Sequence
 
@@ -27,8 +28,8 @@ from spindrift.functions.storage import staged
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
 MOST_PATTERNS = 20_000
-#: Hash ranges a pattern's documents are summed by; only the range where the cut falls is put in order.
-RANGES = 1024
+#: Leading hexadecimal digits of the hash by whose values a pattern's documents are summed; only the range where the cut falls is put in order.
+RANGE_DIGITS = 3
 SEED = 17
 
 
@@ -95,17 +96,20 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = MOST_EPOCHS) ->
             arcs[i ^ 1][1] += step
 
 
-def mix(docs: DataFrame, sources: Column, size: Column, seed: int = SEED, weights=WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+def mix(
+    docs: DataFrame, sources: Column, size: Column, seed: int = SEED, weights=WEIGHTS, most: int = MOST_EPOCHS
+) -> tuple[DataFrame, DataFrame]:
     """The rows of docs as a struct ``row``, with size, pattern, and taken: tokens the mix takes, a multiple of size.
 
-    sources: an array column of each row's sources. docs is read twice.
+    sources: an array column of each row's sources. docs is read twice. The
+    second frame has source, source_size and target of each source.
     """
     base = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         size.cast("long").alias("size"),
         F.array_sort(F.array_distinct(sources)).alias("pattern"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"),
-    ).withColumn("range", F.shiftrightunsigned("h", 64 - (RANGES - 1).bit_length()).cast("int"))
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("h"),
+    ).withColumn("range", F.substring("h", 1, RANGE_DIGITS))
     summed = staged(base.groupBy("pattern", "range").agg(F.sum("size").alias("tokens")), "ranges")
     found = summed.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
@@ -116,7 +120,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, seed: int = SEED, weight
         for s in p:  # what several sources hold counts in equal parts
             sizes[s] = sizes.get(s, 0) + (tokens if len(p) == 1 else tokens / len(p))
     target = targets(sizes, weights, most)
-    flow = route(patterns, {s: round(t) for s, t in target.items()}, most)
+    flow = route(patterns, {s: math.floor(t + 0.5) for s, t in target.items()}, most)
     plan = []
     for p, tokens in patterns.items():
         give = sum(flow[p, s] for s in p)
@@ -141,7 +145,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, seed: int = SEED, weight
     result = both.select("row", "size", "pattern", (F.col("passes") + F.when(F.col("passes") < most, F.col("extra")).otherwise(0)).alias("times"))
     shown = [(s, float(sizes[s]), float(target[s])) for s in sizes]
     report = spark.createDataFrame(shown, "source string, source_size double, target double")
-    return result.withColumn("taken", F.col("times") * F.col("size")).select("*"), report
+    return result.withColumn("taken", F.col("times") * F.col("size")), report
 
 
 def by_source(docs: DataFrame) -> DataFrame:
@@ -152,7 +156,7 @@ def by_source(docs: DataFrame) -> DataFrame:
     joined = mixed.join(F.broadcast(report.limit(MOST_PATTERNS)), source.eqNullSafe(report["source"]))
     return joined.select(
         F.col("row.doc_id").cast("long").alias("doc_id"), "size",
-        F.col("source_size").cast("long").alias("source_size"), "target", "taken",
+        F.col("source_size").cast("long").alias("source_size"), F.round("target", 6).alias("target"), "taken",
     )
 
 

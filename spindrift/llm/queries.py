@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import langid, licenses, lm, media, mixing, multi_index, packing, pii, secrets, simhash
+from spindrift.llm import langid, licenses, lm, media, mixing, multi_index, packing, pii, secrets, simhash, sql
 from spindrift.llm.columns import read_documents
 
 
@@ -56,4 +56,4 @@ QUERIES = {
         op6_license_scan, op7_simhash_pigeonring, op8_flac_media, op9_embedding_multi_index, op10_secret_scan,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
