@@ -27,7 +27,9 @@ class RecordingReader(DataSourceReader):
         total = os.path.getsize(self.path) // (2 * self.n)
         return [Chunk(a, min(a + self.chunk, total), max(0, a - self.overlap), min(total, a + self.chunk + self.overlap)) for a in range(0, total, self.chunk)]
 
-    def read(self, part: Chunk) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Chunk | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # an empty file has no partitions
+            return
         step = 50_000
         schema = RecordingSource.arrow()
         with open(self.path, "rb") as f:

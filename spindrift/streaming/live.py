@@ -12,11 +12,17 @@ def bursts(events: DataFrame, ts: str, key: str, gap: str, late: str) -> DataFra
     return grouped.agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def live_pairs(trials: DataFrame, spikes: DataFrame, before: str, after: str, late: str) -> DataFrame:
-    """trial, t0, unit, t of a stream of trials (trial, t0) joined to one of spikes (unit, t) in [t0 - before, t0 + after).
+def live_pairs(trials: DataFrame, spikes: DataFrame, before: int, after: int, late: str) -> DataFrame:
+    """trial, t0, unit, t of a stream of trials (trial, t0) joined to one of spikes (unit, t) in [t0 - before, t0 + after), in seconds.
 
-    Both sides carry watermarks and the range bounds them, so state is dropped in time.
+    Both sides carry watermarks and the range bounds them, so state is dropped
+    in time. Streams join on equal keys: here time slots as wide as the range,
+    of which a trial touches two at most.
     """
-    a, b = trials.withWatermark("t0", late), spikes.withWatermark("t", late)
-    inside = (F.col("t") >= F.col("t0") - F.expr(f"INTERVAL {before}")) & (F.col("t") < F.col("t0") + F.expr(f"INTERVAL {after}"))
-    return a.join(b, inside)
+    width = before + after
+    slot = lambda c: F.floor(F.unix_micros(c) / (width * 1_000_000))
+    low, high = F.col("t0") - F.make_dt_interval(secs=F.lit(before)), F.col("t0") + F.make_dt_interval(secs=F.lit(after))
+    a = trials.withWatermark("t0", late).withColumn("slot", F.explode(F.sequence(slot(low), slot(high))))
+    b = spikes.withWatermark("t", late).withColumn("slot_t", slot(F.col("t")))
+    inside = (F.col("t") >= F.col("t0") - F.expr(f"INTERVAL {before} SECONDS")) & (F.col("t") < F.col("t0") + F.expr(f"INTERVAL {after} SECONDS"))
+    return a.join(b, (F.col("slot") == F.col("slot_t")) & inside).select("trial", "t0", "unit", "t")
