@@ -189,8 +189,8 @@ def unit_class(spark, sf_dir):
 @query(f"WITH {A}, {SU}, {PAIRS}, {COUNTS}, {RATES}, {BASE}, {Z}, {CLASS} SELECT unit_class, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM k), 6) AS pct FROM k GROUP BY unit_class")
 def class_counts(spark, sf_dir):
     found = _classes(spark, sf_dir)
-    total = found.agg(F.count("*").alias("total"))
-    return found.groupBy("unit_class").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("unit_class", "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("pct"))
+    total = found.agg(F.count("*")).scalar()
+    return found.groupBy("unit_class").agg(F.count("*").alias("n")).select("unit_class", "n", F.round(100.0 * F.col("n") / total, 6).alias("pct"))
 
 
 @query(

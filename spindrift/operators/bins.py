@@ -38,9 +38,9 @@ def yields(rewards: DataFrame, detections: DataFrame, by: str, window: int) -> D
     near = range_pairs(rewards, detections, "t0", "t", window - 1, window - 1, closed=True)
     near = near.select("trial", by, "event").distinct()
     hit = near.groupBy(by).agg(F.countDistinct("trial").alias("_hit"), F.countDistinct("event").alias("_true"))
-    total = rewards.agg(F.count("*").alias("_n"))
+    total = rewards.agg(F.count("*")).scalar()
     every = detections.groupBy(by).agg(F.count("*").alias("n"))
-    h = F.coalesce("_hit", F.lit(0)) / F.col("_n")
+    h = F.coalesce("_hit", F.lit(0)) / total
     far = 1 - F.coalesce("_true", F.lit(0)) / F.col("n")
-    return every.join(hit, by, "left").join(F.broadcast(total)).select(by, "n", h.alias("hit_rate"), far.alias("false_rate"), (h * (1 - far)).alias("yield"))
+    return every.join(hit, by, "left").select(by, "n", h.alias("hit_rate"), far.alias("false_rate"), (h * (1 - far)).alias("yield"))
 

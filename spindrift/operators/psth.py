@@ -20,11 +20,9 @@ def rates(trials: DataFrame, spikes: DataFrame, before: int, after: int, width:
     found = counts(trials, spikes, before, after, width)
     bins = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((before + after) // width - 1).cast("long")))
     grid = spikes.select("unit").distinct().select("unit", bins.alias("bin"))
-    total = trials.agg(F.count("*").alias("n_trials"))  # one row
+    total = trials.agg(F.count("*")).scalar()
     n = F.coalesce("n", F.lit(0))
-    return grid.join(found, ["unit", "bin"], "left").join(F.broadcast(total)).select(
-        "unit", "bin", n.alias("n"), (n / (F.col("n_trials") * (width / per))).alias("rate")
-    )
+    return grid.join(found, ["unit", "bin"], "left").select("unit", "bin", n.alias("n"), (n / (total * (width / per))).alias("rate"))
 
 
 def centre(before: int, width: int) -> Column:
@@ -48,10 +46,8 @@ def reliability(trials: DataFrame, spikes: DataFrame, latencies: DataFrame, befo
     pairs = range_pairs(trials, spikes, "t0", "t", before, after).join(latencies, "unit")
     hit = F.abs(F.col("t") - F.col("t0") - F.col("latency")) <= half
     hits = pairs.where(hit).select("unit", "trial").distinct().groupBy("unit").agg(F.count("*").alias("hits"))
-    total = trials.agg(F.count("*").alias("n_trials"))
-    return latencies.join(hits, "unit", "left").join(F.broadcast(total)).select(
-        "unit", (F.coalesce("hits", F.lit(0)) / F.col("n_trials")).alias("reliability")
-    )
+    total = trials.agg(F.count("*")).scalar()
+    return latencies.join(hits, "unit", "left").select("unit", (F.coalesce("hits", F.lit(0)) / total).alias("reliability"))
 
 
 def floor_sd(sd: Column, mean: Column) -> Column:
