@@ -40,12 +40,17 @@ def nearest_in_window(
 ) -> DataFrame:
     """For each group ``by``: the t of right in [t0 + shift - tolerance, t0 + shift + tolerance) nearest to t0 + shift.
 
-    Ties go to the earlier t. Adds ``off``, the absolute distance. The choice
-    is an aggregate, so a crowded window isn't sorted.
+    Ties go to the earlier t. Adds ``off``, the absolute distance. t0 is the
+    same in all rows of a group. Distance and side make one whole number, so
+    the choice is a hash aggregate, and a crowded window isn't sorted.
     """
     pairs = range_pairs(left, right, t0, t, tolerance - shift, tolerance + shift, keys)
-    off = F.abs(F.col(t) - F.col(t0) - shift)
-    return pairs.groupBy(*by).agg(F.min(F.struct(off.alias("off"), F.col(t))).alias("_m")).select(*by, f"_m.{t}", "_m.off")
+    aim = F.col(t0) + shift
+    rank = F.abs(F.col(t) - aim) * 2 + (F.col(t) > aim).cast("long")
+    best = pairs.groupBy(*by).agg(F.min(rank).alias("_r"), F.min(aim).alias("_aim"))
+    off = F.shiftright("_r", 1)
+    at = F.col("_aim") + F.when(F.col("_r").bitwiseAND(F.lit(1)) == 1, off).otherwise(-off)
+    return best.select(*by, at.alias(t), off.alias("off"))
 
 
 def greedy_one_to_one(left: DataFrame, right: DataFrame, id0: str, t0: str, t: str, tolerance: int) -> DataFrame:
