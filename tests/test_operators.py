@@ -207,3 +207,32 @@ def test_interpolation_and_running_median(spark):
     assert [r["running"] for r in report.running_median(m, ("k",), ("i",), "v", 2).orderBy("i").collect()] == [5.0, 3.0, 5.0, 7.0]
     bands = spark.createDataFrame([(4.0,), (5.0,), (20.0,), (50.0,)], "r double").select(report.quality_band("r").alias("b"))
     assert [r["b"] for r in bands.collect()] == ["EXCELLENT", "GOOD", "OK", "POOR"]
+
+
+def test_candidates(spark):
+    from spindrift.operators import candidates as c
+
+    x = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate([0, 3, 1, 1, 5, 5, 2, 4])], "k string, i long, v double")
+    assert rows(c.local_maxima(x, ("k",), "i", "v"), "i") == [(1,)]
+    t = spark.createDataFrame([("a", 0), ("a", 4), ("a", 100), ("b", 7)], "k string, t long")
+    assert rows(c.isolation(t, ("k",), ("t",), "t", 10.0)) == [("a", 0, 0.4), ("a", 4, 0.4), ("a", 100, 1.0), ("b", 7, 1.0)]
+    s = spark.createDataFrame([(1, 2.0), (2, 3.0), (2, 3.0), (3, 1.0), (3, 5.0), (3, 2.0)], "trial int, s double")
+    assert rows(c.confidence(s, "trial", "s"), "trial", "confidence") == [(1, 1.0), (2, 0.5), (2, 0.5), (3, 0.0), (3, 0.25), (3, 1.0)]
+    z = spark.createDataFrame([(1, "f", 2.0), (1, "g", 4.0), (1, "h", 9.0), (2, "f", -1.0)], "p int, f string, z double")
+    assert rows(c.weighted_scores(z, ("p",), "f", "z", {"f": 1.0, "g": 0.5})) == [(1, 4.0, 3), (2, 0.0, 1)]
+    assert rows(c.sweep(s, "s", [2.0, 3.0]).groupBy("threshold").count()) == [(2.0, 5), (3.0, 3)]
+    assert rows(c.histogram(s, "s", 4, 0.0)) == [(0, 1), (1, 2), (2, 2), (3, 1)]
+    share = spark.range(4000).select(c.split(F.col("id"), 1, 0.8).cast("int").alias("x")).agg(F.avg("x")).first()[0]
+    assert 0.77 < share < 0.83
+
+
+def test_smoothing_mirrors_its_ends(spark):
+    from spindrift.functions.kernels import gaussian
+    from spindrift.operators.candidates import smoothed
+
+    v = np.random.default_rng(27).random(12)
+    df = spark.createDataFrame([("u", i + 3, float(x)) for i, x in enumerate(v)], "k string, b long, v double")
+    got = smoothed(df, ("k",), "b", "v", 1.5, 3, 14).orderBy("bin").collect()
+    assert np.allclose([r["smooth"] for r in got], gaussian(v, 1.5))
+    with pytest.raises(ValueError):
+        smoothed(df, ("k",), "b", "v", 9.0, 3, 14)
