@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.storage import staged
+from spindrift.functions.storage import discard, staged
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("root"))
         hooked = large.join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
         small = hooked.unionByName(least.select("a", F.col("root").alias("b"))).where("a <> b").distinct()
-        now = staged(small, "links")
+        now, old = staged(small, "links"), now
+        discard(old, large)
         new = _mark(now)
         if new == mark:
             break

@@ -28,16 +28,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.storage import staged
+from spindrift.functions.storage import discard, staged
 from spindrift.llm.columns import texts
 from spindrift.llm.graph import components
 
 BITS, DISTANCE, SEGMENTS, SHINGLE, SEED = 64, 2, 5, 3, 42
 HOT = 64
-#: For near copies by word shingles: fingerprints of word sets that a document has, their distance and segments.
-LANES, LANE_DISTANCE, LANE_SEGMENTS = 16, 3, 7
+#: For near copies by word shingles: fingerprints of a document's set of words, and the differing bits that a chain may have in all.
+LANES, LANE_BUDGET = 8, 12
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-CENTRES = 16
+#: A key that more nodes than NEAR_HOT share pairs them with CENTRES of them: the pairs of a key stay in proportion to its rows.
+NEAR_HOT, CENTRES = 16, 2
 
 
 def shingle_hashes(raw: bytes, k: int) -> np.ndarray:
@@ -54,13 +55,23 @@ def shingle_hashes(raw: bytes, k: int) -> np.ndarray:
     return np.array([digest(flat[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=False)], dtype=np.uint64)
 
 
+def majorities(h: np.ndarray) -> np.ndarray:
+    """For each column of hashes: a bit is 1 if it is set in over half of them.
+
+    Bits are counted in bytes that eight at a time make a 64-bit number, in
+    runs of at most 255 rows, so that no byte overflows.
+    """
+    raw = np.ascontiguousarray(h).view(np.uint8).reshape(len(h), -1)
+    n = np.zeros(8 * raw.shape[1], dtype=np.int64)
+    for at in range(0, len(raw), 255 * 16):
+        bits = np.unpackbits(raw[at : at + 255 * 16], axis=1, bitorder="little")
+        runs = np.add.reduceat(bits.view(np.uint64), np.arange(0, len(bits), 255), axis=0)
+        n += runs.view(np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * n > len(h), bitorder="little").view(np.uint64)
+
+
 def majority(h: np.ndarray) -> int:
-    """A bit is 1 if it is set in over half of the hashes."""
-    n = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(h), 1 << 16):
-        bits = np.unpackbits(np.ascontiguousarray(h[at : at + (1 << 16)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        n += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * n > len(h), bitorder="little").tobytes(), "little")
+    return int(majorities(h[:, None])[0]) if len(h) else 0
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -134,6 +145,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     placed = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").withColumn("root", F.coalesce("component", "fp"))
     totals = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
     of_fp = staged(placed.select("fp", "root").join(totals, "root").select("fp", "component_id", "component_size"), "components")
+    discard(distinct)
     return own.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size"
     )
@@ -146,70 +158,96 @@ def lane_prints(raw: bytes, lanes: int) -> np.ndarray:
     """Independent fingerprints of a text's distinct words, one for each lane."""
     words = set(raw.lower().split())
     h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=np.uint64, count=len(words))
-    out = np.zeros(lanes, dtype=np.uint64)
-    if len(h):
-        for i in range(lanes):
-            x = h ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-            out[i] = majority(x ^ (x >> np.uint64(31)))
-    return out
-
-
-def near_links(
-    reps: DataFrame, lanes: int = LANES, distance: int = LANE_DISTANCE, m: int = LANE_SEGMENTS,
-    k: int = NEAR_SHINGLE, similarity: float = SIMILARITY, hot: int = HOT,
-) -> DataFrame:
-    """Links (a, b) of rows (id, text) whose k-word shingle sets have at least the similarity (Jaccard).
-
-    Candidates share a chain in some lane. A key that more than ``hot`` rows
-    share pairs its members with CENTRES of them only, in each of as many
-    shares the one nearest to the members' majority: copies of one text are
-    nearest to that text. Every candidate is decided by its exact shingle sets.
-    """
+    if not len(h):
+        return np.zeros(lanes, dtype=np.uint64)
+    x = h[:, None] ^ np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return majorities(x ^ (x >> np.uint64(31)))
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def marks(docs: DataFrame, lanes: int = LANES) -> DataFrame:
+    """id, node (XXH64 of the text's words, A-Z in lower case, joined by blanks), prints (its lanes' fingerprints)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.repeat(batch.column(0).to_numpy(), lanes)
-            fps = np.array([lane_prints(x, lanes) for x in texts(batch.column(1))], dtype=np.uint64).reshape(-1)
-            lane = np.tile(np.arange(lanes, dtype=np.int32), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lane), pa.array(fps.view(np.int64))], ["id", "lane", "fp"])
-
-    keys = reps.select("id", "text").mapInArrow(prints, "id long, lane int, fp long")
-    keys = keys.select("id", "fp", "lane", F.explode(keyed(F.col("fp"), distance, m)).alias("key"))
-    keys = keys.select("id", "fp", F.struct("lane", "key.i", "key.bits").alias("key"))
+            given = texts(batch.column(1))
+            nodes = np.array([text_node(x) for x in given], dtype=np.uint64)
+            prints = np.array([lane_prints(x, lanes) for x in given], dtype=np.uint64).reshape(-1)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(prints) + 1, lanes, dtype=np.int32), pa.array(prints.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), lists], ["id", "node", "prints"])
+
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return given.mapInArrow(rows, "id long, node long, prints array<long>")
+
+
+def text_node(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(raw.lower().split()), SEED)
+
+
+def candidates(reps: DataFrame, budget: int = LANE_BUDGET, m: int = SEGMENTS, hot: int = NEAR_HOT) -> DataFrame:
+    """Pairs (a, b) of nodes (node, prints) of which some lane has a chain whose first two segments are equal.
+
+    The chain's further segments stay within their share of the budget. Not
+    every pair within the budget has such a chain in a lane; the number of
+    lanes makes up for that. A key that more than ``hot`` nodes share pairs its
+    members with CENTRES of them only: in each of as many shares the one that
+    over all its crowded keys is nearest to the members' majority, as a text
+    is from which the others were copied.
+    """
+    lanes = reps.select("node", F.posexplode("prints").alias("lane", "fp"))
+    keys = lanes.select("node", "fp", "lane", F.explode(keyed(F.col("fp"), DISTANCE, m)).alias("key"))
+    keys = keys.select("node", "fp", F.col("key.i").alias("i"), F.xxhash64("lane", "key.i", "key.bits").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = staged(keys.join(sizes, "key"), "lanes")
     few = shared.where(F.col("n") <= hot)
-    a = few.select("key", F.col("id").alias("a"), F.col("fp").alias("fa"))
-    b = few.select("key", F.col("id").alias("b"), F.col("fp").alias("fb"))
-    close = in_budget(F.col("fa").bitwiseXOR(F.col("fb")), F.col("key.i"), distance, m)
+    a = few.select("key", "i", F.col("node").alias("a"), F.col("fp").alias("fa"))
+    b = few.select("key", F.col("node").alias("b"), F.col("fp").alias("fb"))
+    close = in_budget(F.col("fa").bitwiseXOR(F.col("fb")), F.col("i"), budget, m)
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & close).select("a", "b")
-    crowd = shared.where(F.col("n") > hot).select("key", "id", "fp")
+    crowd = shared.where(F.col("n") > hot).select("key", "node", "fp")
     bit = [F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(BITS)]
     counts = crowd.groupBy("key").agg(F.count("*").alias("n"), *bit)
     middle = F.lit(0).cast("long")
     for i in range(BITS):
         middle = middle.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)))
-    off = crowd.join(counts.select("key", middle.alias("middle")), "key").withColumn("off", F.bit_count(F.expr("fp ^ middle")))
-    share = F.pmod(F.xxhash64("id"), F.lit(CENTRES))
-    centres = off.groupBy("key", share.alias("share")).agg(F.min_by("id", F.struct("off", "id")).alias("centre"))
-    stars = off.select("key", "id").join(centres, "key").where("id <> centre")
-    stars = stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    pairs = staged(pairs.unionByName(stars).distinct(), "pairs")
+    off = crowd.join(counts.select("key", middle.alias("middle")), "key").select("key", "node", F.bit_count(F.expr("fp ^ middle")).alias("off"))
+    off = staged(off, "crowds")
+    mean = off.groupBy("node").agg(F.avg("off").alias("mean"))
+    share = F.pmod(F.xxhash64("node"), F.lit(CENTRES))
+    centres = off.join(mean, "node").groupBy("key", share.alias("share")).agg(F.min_by("node", F.struct("mean", "node")).alias("centre"))
+    stars = off.select("key", "node").join(centres, "key").where("node <> centre")
+    stars = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    found = staged(pairs.unionByName(stars).distinct(), "pairs")
+    discard(shared, off)
+    return found
+
+
+def alike(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """The pairs of nodes whose sets of k-word shingles (as 32-bit hashes) have at least the similarity (Jaccard).
+
+    reps: node, id of a document with that text. The second frame is the
+    staged table of sets, to discard once the first has been read.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(shingle_hashes(x, k)).tobytes() for x in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["id", "shingles"])
-
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    shingles = staged(reps.join(named, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, shingles binary"), "shingles")
+            given = texts(batch.column(0))
+            nodes = np.array([text_node(x) for x in given], dtype=np.uint64)
+            own = [np.unique(shingle_hashes(x, k).astype(np.uint32)).tobytes() for x in given]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(own, pa.binary())], ["node", "shingles"])
+
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ids = reps.select("node", "id").join(named, "node").select("id").distinct()
+    given = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    own = given.join(ids, given["id"].eqNullSafe(ids["id"]), "left_semi").select("text").mapInArrow(sets, "node long, shingles binary")
+    table = staged(own, "shingles")
+    shingles = table.groupBy("node").agg(F.min("shingles").alias("shingles"))  # an id may have several texts, and rows be repeated
 
     @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+    def enough(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(p, q):
-            p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+            p, q = np.frombuffer(p, dtype=np.uint32), np.frombuffer(q, dtype=np.uint32)
             if min(len(p), len(q)) < similarity * max(len(p), len(q)):
                 return False
             both = len(np.intersect1d(p, q, assume_unique=True))
@@ -217,23 +255,33 @@ def near_links(
 
         return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    sided = pairs.join(shingles.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    sided = sided.join(shingles.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return sided.where(alike("x", "y")).select("a", "b")
+    sided = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    sided = sided.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return sided.where(enough("x", "y")).select("a", "b"), table
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without all but the smallest doc_id of each group of near copies (five words, 0.8). All columns stay.
 
     Texts that are equal but for white space and the case of A-Z count as one.
-    Rows with equal doc_id and text leave one row, null ids the last choice.
+    Rows with equal doc_id and text leave one row; null ids are the last choice.
+    Everything but two joins by id runs on ids and fingerprints, without texts.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    norm = F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(norm, 256).alias("same"))
-    rank = F.struct(F.col("id").isNull(), "id")
-    firsts = staged(base.groupBy("same").agg(F.min_by("row", rank).alias("row")), "firsts")
-    reps = firsts.select(F.col("row.doc_id").cast("long").alias("id"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"))
-    nodes = components(near_links(reps.where("id is not null")))
-    gone = nodes.where("node <> component").select(F.col("node").alias("id"))
-    return firsts.withColumn("id", F.col("row.doc_id").cast("long")).join(gone, "id", "left_anti").select("row.*")
+    own = staged(marks(docs), "marks")
+    reps = staged(own.groupBy("node").agg(F.min("id").alias("id"), F.first("prints").alias("prints")), "reps")
+    pairs = candidates(reps)
+    links, sets = alike(pairs, docs, reps)
+    nodes = components(links)
+    placed = reps.select("node", "id").join(nodes, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    last = F.struct(F.col("id").isNull(), "id", "node")
+    kept = staged(placed.groupBy("root").agg(F.min_by(F.struct("id", "node"), last).alias("k")).select("k.id", "k.node"), "kept")
+    discard(own, reps, pairs, sets)
+
+    @F.pandas_udf("long")
+    def node(column: pd.Series) -> pd.Series:
+        return pd.Series(np.array([text_node((x or "").encode()) for x in column], dtype=np.uint64).view(np.int64))
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    rows = rows.join(kept, rows["id"].eqNullSafe(kept["id"])).select("row", rows["id"].alias("id"), "node")
+    rows = rows.where(node(F.col("row.text").cast("string")) == F.col("node"))
+    return rows.dropDuplicates(["id", "node"]).select("row.*")
