@@ -129,20 +129,19 @@ def mix(
     spark = docs.sparkSession
     planned = spark.createDataFrame(plan, "pattern array<string>, passes long, rest long")
     before = F.sum("tokens").over(Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    cuts = staged(
-        summed.withColumn("before", F.coalesce(before, F.lit(0)))
-        .join(planned, "pattern")
-        .select("pattern", "range", "passes", "rest", "before", (F.col("before") + F.col("tokens")).alias("after")),
-        "cuts",
-    )
-    rows = base.join(cuts, ["pattern", "range"])
-    at_cut = (F.col("before") < F.col("rest")) & (F.col("rest") < F.col("after"))
-    whole = rows.where(~at_cut).withColumn("extra", (F.col("after") <= F.col("rest")).cast("long"))
-    inner = F.sum("size").over(Window.partitionBy("pattern", "range").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
-    upto = F.col("before") + inner - F.col("size") / 2
-    cut = rows.where(at_cut).withColumn("extra", (upto <= F.col("rest")).cast("long"))
-    both = whole.unionByName(cut)
-    result = both.select("row", "size", "pattern", (F.col("passes") + F.when(F.col("passes") < most, F.col("extra")).otherwise(0)).alias("times"))
+    upto = summed.withColumn("before", F.coalesce(before, F.lit(0))).join(planned, "pattern")
+    cut = upto.where(F.col("before") + F.col("tokens") > F.col("rest")).groupBy("pattern").agg(F.min(F.struct("range", "before")).alias("cut"))
+    # a row for each pattern, so at most MOST_PATTERNS
+    cuts = F.broadcast(staged(planned.join(cut, "pattern", "left"), "cuts"))
+    rows = base.join(cuts, "pattern")
+    here = F.coalesce(F.col("range") == F.col("cut.range"), F.lit(False))
+    whole = rows.where(~here).withColumn("extra", F.coalesce(F.col("range") < F.col("cut.range"), F.lit(False)).cast("long"))
+    inner = F.sum("size").over(Window.partitionBy("pattern").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    middle = F.col("cut.before") + inner - F.col("size") / 2
+    cut_rows = rows.where(here).withColumn("extra", (middle <= F.col("rest")).cast("long"))
+    both = whole.unionByName(cut_rows)
+    times = F.col("passes") + F.when(F.col("passes") < most, F.col("extra")).otherwise(0)
+    result = both.select("row", "size", "pattern", times.alias("times"))
     shown = [(s, float(sizes[s]), float(target[s])) for s in sizes]
     report = spark.createDataFrame(shown, "source string, source_size double, target double")
     return result.withColumn("taken", F.col("times") * F.col("size")), report
