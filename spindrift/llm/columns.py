@@ -20,3 +20,10 @@ def read_documents(spark, sf_dir: str) -> DataFrame:
 def texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 of a text column, b"" for null."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def sliced(batches, rows: int = 256):
+    """The same rows in smaller batches, which bound what a task holds besides its input."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
