@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.columns import id_bucket, texts
+from spindrift.llm.columns import id_bucket, sliced, texts
 
 DIMS = 4096
 #: Most labelled documents to learn from, and most languages.
 SAMPLE, LANGUAGES = 1600, 160
 FOLDS = 5
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 #: Families of language codes; a code that isn't here is a family of its own.
 FAMILIES = {
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, folds: int = FOLDS, sample: int = SAMPLE) -> Model:
         keep = keep | ((F.col("lang") == r["lang"]) & (place < min(1.0, share / r["count"])))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = frequencies(texts(batch.column(1)))
             packed = [v.astype(np.float32).tobytes() for v in x]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["lang", "x"])
@@ -208,7 +208,7 @@ def predict(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores = model.predict(texts(batch.column(2)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
@@ -223,7 +223,10 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.2) -> DataFrame:
     """The documents whose language is known: predicted, and not unlike every family. All columns stay."""
     @F.pandas_udf("boolean")
     def known(column: pd.Series) -> pd.Series:
-        names, scores = model.predict([(x or "").encode() for x in column])
-        return pd.Series([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], dtype=bool)
+        out: list[bool] = []
+        for at in range(0, len(column), 256):
+            names, scores = model.predict([(x or "").encode() for x in column[at : at + 256]])
+            out += [n != "und" and s >= least for n, s in zip(names, scores, strict=True)]
+        return pd.Series(out, dtype=bool)
 
     return docs.where(known(F.col("text")))
