@@ -19,6 +19,7 @@ doc_id and text play no part; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,12 @@ from spindrift.llm.graph import components
 
 BITS, DISTANCE, SEGMENTS, SHINGLE, SEED = 64, 2, 5, 3, 42
 HOT = 64
-#: For near copies by word shingles: fingerprints of a document's set of words, and the differing bits that a chain may have in all.
-LANES, LANE_BUDGET = 8, 12
+#: For near copies: words a shingle, and the least similarity (Jaccard) of the sets of shingles.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: A key that more nodes than NEAR_HOT share pairs them with CENTRES of them: the pairs of a key stay in proportion to its rows.
-NEAR_HOT, CENTRES = 16, 2
+#: A key that more nodes than NEAR_HOT share links them over a centre first, and compares the pairs that are still apart after that.
+NEAR_HOT = 16
+#: Texts in the sample by which shingles are ordered, and the most shingles that are known as common.
+ORDER_SAMPLE, ORDER_MOST = 4000, 65_536
 
 
 def shingle_hashes(raw: bytes, k: int) -> np.ndarray:
@@ -151,80 +153,130 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     )
 
 
-# Near copies by shingle similarity: word-set fingerprints for candidates, exact shingles for the decision.
+# Near copies by shingle similarity: prefixes of ordered shingles for candidates, exact shingles for the decision.
 
 
-def lane_prints(raw: bytes, lanes: int) -> np.ndarray:
-    """Independent fingerprints of a text's distinct words, one for each lane."""
-    words = set(raw.lower().split())
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=np.uint64, count=len(words))
-    if not len(h):
-        return np.zeros(lanes, dtype=np.uint64)
-    x = h[:, None] ^ np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return majorities(x ^ (x >> np.uint64(31)))
+def common_shingles(docs: DataFrame, k: int = NEAR_SHINGLE, sample: int = ORDER_SAMPLE, most: int = ORDER_MOST) -> np.ndarray:
+    """The shingles that occur most often in a hash sample of the texts, by falling frequency.
+
+    They only settle the order of shingles, which may be any: a prefix of rare
+    ones is shared by fewer texts. What is found doesn't depend on it.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            for x in texts(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x, k)).view(np.int64))], ["h"])
+
+    text = F.col("text").cast("string").alias("text")
+    every = max(1, docs.count() // sample)
+    some = docs.select(text).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
+    often = some.mapInArrow(sets, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    return np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(most).collect()], dtype=np.int64).view(np.uint64)
 
 
-def marks(docs: DataFrame, lanes: int = LANES) -> DataFrame:
-    """id, node (XXH64 of the text's words, A-Z in lower case, joined by blanks), prints (its lanes' fingerprints)."""
+def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first of a set's shingles: rare ones before common ones, and by hash.
+
+    Two sets of at least that similarity share one of them, as the rest is too small.
+    ``common`` is in order, and ``rank`` the place of each by rising frequency.
+    """
+    if not len(own):
+        return own
+    weight = np.zeros(len(own), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        weight = np.where(common[at] == own, rank[at], 0)
+    n = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+    return own[np.lexsort((own, weight))[:n]]
+
+
+def marks(docs: DataFrame, common: np.ndarray, k: int = NEAR_SHINGLE) -> DataFrame:
+    """id, node (XXH64 of the text's words, A-Z in lower case, joined by blanks), size (its shingles), prefix (the first of them)."""
+    order = np.argsort(common)
+    known, rank = common[order], len(common) - order
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             given = texts(batch.column(1))
             nodes = np.array([text_node(x) for x in given], dtype=np.uint64)
-            prints = np.array([lane_prints(x, lanes) for x in given], dtype=np.uint64).reshape(-1)
-            lists = pa.ListArray.from_arrays(np.arange(0, len(prints) + 1, lanes, dtype=np.int32), pa.array(prints.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), lists], ["id", "node", "prints"])
+            sizes, firsts = [], []
+            for x in given:
+                own = np.unique(shingle_hashes(x, k))
+                sizes.append(len(own))
+                firsts.append(prefix(own, known, rank))
+            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+            flat = np.concatenate([*firsts, np.zeros(0, dtype=np.uint64)])
+            lists = pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))
+            columns = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array(sizes, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "size", "prefix"])
 
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return given.mapInArrow(rows, "id long, node long, prints array<long>")
+    return given.mapInArrow(rows, "id long, node long, size int, prefix array<long>")
 
 
 def text_node(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(b" ".join(raw.lower().split()), SEED)
 
 
-def candidates(reps: DataFrame, budget: int = LANE_BUDGET, m: int = SEGMENTS, hot: int = NEAR_HOT) -> DataFrame:
-    """Pairs (a, b) of nodes (node, prints) of which some lane has a chain whose first two segments are equal.
+def may_be_alike(similarity: float = SIMILARITY) -> Column:
+    """Whether the shingles from a shared one on (size - at, of a and of b) can suffice, as they must at the first shared one."""
+    return F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= similarity / (1 + similarity) * (F.col("sa") + F.col("sb")) - 1e-9
 
-    The chain's further segments stay within their share of the budget. Not
-    every pair within the budget has such a chain in a lane; the number of
-    lanes makes up for that. A key that more than ``hot`` nodes share pairs its
-    members with CENTRES of them only: in each of as many shares the one that
-    over all its crowded keys is nearest to the members' majority, as a text
-    is from which the others were copied.
-    """
-    lanes = reps.select("node", F.posexplode("prints").alias("lane", "fp"))
-    keys = lanes.select("node", "fp", "lane", F.explode(keyed(F.col("fp"), DISTANCE, m)).alias("key"))
-    keys = keys.select("node", "fp", F.col("key.i").alias("i"), F.xxhash64("lane", "key.i", "key.bits").alias("key"))
+
+def shared_keys(reps: DataFrame) -> DataFrame:
+    """key, node, size, at, n of the prefixes' shingles (reps: node, size, prefix) that n > 1 nodes share; staged."""
+    keys = reps.select("node", "size", F.posexplode("prefix").alias("at", "key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = staged(keys.join(sizes, "key"), "lanes")
+    return staged(keys.join(sizes, "key"), "keys")
+
+
+def _sides(a: DataFrame, b: DataFrame, *on: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a and b joined on columns, with node, size and at as a, sa, ia and b, sb, ib."""
+    left = a.select(*on, *[F.col(c).alias(f"{c}_a") for c in extra], F.col("node").alias("a"), F.col("size").alias("sa"), F.col("at").alias("ia"))
+    right = b.select(*on, *[F.col(c).alias(f"{c}_b") for c in extra], F.col("node").alias("b"), F.col("size").alias("sb"), F.col("at").alias("ib"))
+    return left.join(right, list(on))
+
+
+def first_pairs(shared: DataFrame, hot: int = NEAR_HOT) -> DataFrame:
+    """Pairs (a, b) of nodes: all of a key that at most ``hot`` nodes share, and of other keys each member with one centre.
+
+    The centre is the member in most crowded keys, as a text is from which
+    others were copied. Other pairs of crowded keys are left to ``later_pairs``.
+    """
     few = shared.where(F.col("n") <= hot)
-    a = few.select("key", "i", F.col("node").alias("a"), F.col("fp").alias("fa"))
-    b = few.select("key", F.col("node").alias("b"), F.col("fp").alias("fb"))
-    close = in_budget(F.col("fa").bitwiseXOR(F.col("fb")), F.col("i"), budget, m)
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & close).select("a", "b")
-    crowd = shared.where(F.col("n") > hot).select("key", "node", "fp")
-    bit = [F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(BITS)]
-    counts = crowd.groupBy("key").agg(F.count("*").alias("n"), *bit)
-    middle = F.lit(0).cast("long")
-    for i in range(BITS):
-        middle = middle.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)))
-    off = crowd.join(counts.select("key", middle.alias("middle")), "key").select("key", "node", F.bit_count(F.expr("fp ^ middle")).alias("off"))
-    off = staged(off, "crowds")
-    mean = off.groupBy("node").agg(F.avg("off").alias("mean"))
-    share = F.pmod(F.xxhash64("node"), F.lit(CENTRES))
-    centres = off.join(mean, "node").groupBy("key", share.alias("share")).agg(F.min_by("node", F.struct("mean", "node")).alias("centre"))
-    stars = off.select("key", "node").join(centres, "key").where("node <> centre")
+    pairs = _sides(few, few, "key").where((F.col("a") < F.col("b")) & may_be_alike()).select("a", "b")
+    crowd = shared.where(F.col("n") > hot).select("key", "node")
+    marked = crowd.join(crowd.groupBy("node").agg(F.count("*").alias("m")), "node")
+    centres = marked.groupBy("key").agg(F.max_by("node", F.struct("m", "node")).alias("centre"))
+    stars = crowd.join(centres, "key").where("node <> centre")
     stars = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    found = staged(pairs.unionByName(stars).distinct(), "pairs")
-    discard(shared, off)
+    return staged(pairs.unionByName(stars).distinct(), "pairs")
+
+
+def later_pairs(shared: DataFrame, nodes: DataFrame, done: DataFrame, hot: int = NEAR_HOT) -> DataFrame:
+    """The pairs (a, b) of crowded keys that aren't in ``done`` and that nodes (node, component) don't link yet.
+
+    No pair is left out but those that are linked or too short to be alike: a
+    key's members outside its largest component meet all of its members, dealt out in shares.
+    """
+    crowd = shared.where(F.col("n") > hot).join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    crowd = staged(crowd.select("key", "node", "size", "at", "n", "component"), "crowds")
+    parts = crowd.groupBy("key", "component").agg(F.count("*").alias("m"))
+    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.count("*").alias("parts"))
+    split = crowd.join(largest.where("parts > 1"), "key")
+    shares = F.ceil(F.col("n") / (8 * hot)).cast("int")
+    strays = split.where("component <> largest").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    dealt = split.withColumn("share", F.pmod(F.xxhash64("node"), shares).cast("int"))
+    met = _sides(strays, dealt, "key", "share", extra=("component",)).where((F.col("component_a") != F.col("component_b")) & may_be_alike())
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = staged(met.join(done, ["a", "b"], "left_anti"), "pairs")
+    discard(crowd)
     return found
 
 
 def alike(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """The pairs of nodes whose sets of k-word shingles (as 32-bit hashes) have at least the similarity (Jaccard).
+    """The pairs of nodes whose sets of k-word shingles (as 64-bit hashes) have at least the similarity (Jaccard).
 
     reps: node, id of a document with that text. The second frame is the
     staged table of sets, to discard once the first has been read.
@@ -234,7 +286,7 @@ def alike(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int = NEAR_SHIN
         for batch in sliced(batches):
             given = texts(batch.column(0))
             nodes = np.array([text_node(x) for x in given], dtype=np.uint64)
-            own = [np.unique(shingle_hashes(x, k).astype(np.uint32)).tobytes() for x in given]
+            own = [np.unique(shingle_hashes(x, k)).tobytes() for x in given]
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(own, pa.binary())], ["node", "shingles"])
 
     named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -247,11 +299,11 @@ def alike(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int = NEAR_SHIN
     @F.pandas_udf("boolean")
     def enough(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(p, q):
-            p, q = np.frombuffer(p, dtype=np.uint32), np.frombuffer(q, dtype=np.uint32)
-            if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+            p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+            if min(len(p), len(q)) < similarity * max(len(p), len(q)) - 1e-9:
                 return False
             both = len(np.intersect1d(p, q, assume_unique=True))
-            return both >= similarity * (len(p) + len(q) - both)
+            return both >= similarity * (len(p) + len(q) - both) - 1e-9
 
         return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
 
@@ -265,17 +317,25 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Texts that are equal but for white space and the case of A-Z count as one.
     Rows with equal doc_id and text leave one row; null ids are the last choice.
-    Everything but two joins by id runs on ids and fingerprints, without texts.
+    Everything but the joins by id runs on ids and hashes, without texts.
     """
-    own = staged(marks(docs), "marks")
-    reps = staged(own.groupBy("node").agg(F.min("id").alias("id"), F.first("prints").alias("prints")), "reps")
-    pairs = candidates(reps)
+    own = staged(marks(docs, common_shingles(docs)), "marks")
+    reps = own.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    reps = staged(reps, "reps")
+    shared = shared_keys(reps)
+    pairs = first_pairs(shared)
     links, sets = alike(pairs, docs, reps)
+    links = staged(links, "alike")
     nodes = components(links)
+    later = later_pairs(shared, nodes, pairs)
+    if not later.isEmpty():
+        more, more_sets = alike(later, docs, reps)
+        nodes = components(links.unionByName(more))
+        discard(more_sets)
     placed = reps.select("node", "id").join(nodes, "node", "left").withColumn("root", F.coalesce("component", "node"))
     last = F.struct(F.col("id").isNull(), "id", "node")
     kept = staged(placed.groupBy("root").agg(F.min_by(F.struct("id", "node"), last).alias("k")).select("k.id", "k.node"), "kept")
-    discard(own, reps, pairs, sets)
+    discard(own, reps, shared, pairs, links, sets, later)
 
     @F.pandas_udf("long")
     def node(column: pd.Series) -> pd.Series:

@@ -164,3 +164,38 @@ def test_budget_columns(spark):
         raw = r["x"] & (1 << 64) - 1
         want = all((raw & simhash._mask(r["i"], k, 5) & (1 << 64) - 1).bit_count() <= k * 2 // 5 for k in range(3, 6))
         assert r["ok"] == want
+
+
+def kept_by_brute_force(texts):
+    """Smallest ids of the groups by all pairs of at least 0.8."""
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {find(i) for i in texts}
+
+
+def test_crowded_words_lose_no_near_copy(documents):
+    """Texts of the same words in other orders, with a near copy of each, and a crowd of templates that are alike in part."""
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(60):
+        rng.shuffle(words)
+        copy = list(words)
+        copy[40], copy[41] = copy[41], copy[40]
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join(copy)
+    form = [f"form{i}" for i in range(100)]
+    for i in range(80):
+        at = rng.randrange(90)
+        texts[1000 + i] = " ".join(form[:at] + [f"own{rng.randrange(40)}x{j}" for j in range(rng.randint(4, 26))] + form[at:])
+    got = [r["doc_id"] for r in simhash.deduplicated(documents(texts.items())).select("doc_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == kept_by_brute_force(texts)
