@@ -41,6 +41,8 @@ NEAR_SHINGLE, SIMILARITY = 5, 0.8
 NEAR_HOT = 16
 #: Texts in the sample by which shingles are ordered, and the most shingles that are known as common.
 ORDER_SAMPLE, ORDER_MOST = 4000, 65_536
+#: 64-bit words of a text's bit map (a power of two).
+PARITY_WORDS = 16
 
 
 def shingle_hashes(raw: bytes, k: int) -> np.ndarray:
@@ -191,8 +193,14 @@ def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: fl
     return own[np.lexsort((own, weight))[:n]]
 
 
+def parities(own: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """A bit map in which each shingle turns one bit over: two maps differ in no more bits than the sets in shingles."""
+    n = np.bincount((own & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
+    return np.packbits((n & 1).astype(bool), bitorder="little").view(np.int64)
+
+
 def marks(docs: DataFrame, common: np.ndarray, k: int = NEAR_SHINGLE) -> DataFrame:
-    """id, node (XXH64 of the text's words, A-Z in lower case, joined by blanks), size (its shingles), prefix (the first of them)."""
+    """id, node (XXH64 of the text's words, A-Z in lower case, joined by blanks), size (its shingles), prefix (the first of them), parity (their bit map)."""
     order = np.argsort(common)
     known, rank = common[order], len(common) - order
 
@@ -200,19 +208,20 @@ def marks(docs: DataFrame, common: np.ndarray, k: int = NEAR_SHINGLE) -> DataFra
         for batch in sliced(batches):
             given = texts(batch.column(1))
             nodes = np.array([text_node(x) for x in given], dtype=np.uint64)
-            sizes, firsts = [], []
+            sizes, firsts, maps = [], [], []
             for x in given:
                 own = np.unique(shingle_hashes(x, k))
                 sizes.append(len(own))
                 firsts.append(prefix(own, known, rank))
+                maps.append(parities(own).tobytes())
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             flat = np.concatenate([*firsts, np.zeros(0, dtype=np.uint64)])
             lists = pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))
-            columns = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array(sizes, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "size", "prefix"])
+            columns = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "size", "prefix", "parity"])
 
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return given.mapInArrow(rows, "id long, node long, size int, prefix array<long>")
+    return given.mapInArrow(rows, "id long, node long, size int, prefix array<long>, parity binary")
 
 
 def text_node(raw: bytes) -> int:
@@ -238,6 +247,20 @@ def _sides(a: DataFrame, b: DataFrame, *on: str, extra: tuple[str, ...] = ()) ->
     return left.join(right, list(on))
 
 
+def near_maps(pairs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) without those whose bit maps differ in more bits than the sets of alike ones may in shingles."""
+
+    @F.pandas_udf("int")
+    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        p, q = (np.frombuffer(b"".join(v), dtype=np.uint64).reshape(len(v), -1) for v in (x, y))
+        return pd.Series(np.bitwise_count(p ^ q).sum(axis=1).astype(np.int32))
+
+    sided = pairs.join(reps.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("parity").alias("x")), "a")
+    sided = sided.join(reps.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("parity").alias("y")), "b")
+    most = (1 - similarity) / (1 + similarity) * (F.col("sa") + F.col("sb")) + 1e-9
+    return staged(sided.where(apart("x", "y") <= most).select("a", "b"), "near")
+
+
 def first_pairs(shared: DataFrame, hot: int = NEAR_HOT) -> DataFrame:
     """Pairs (a, b) of nodes: all of a key that at most ``hot`` nodes share, and of other keys each member with one centre.
 
@@ -276,7 +299,7 @@ def later_pairs(shared: DataFrame, nodes: DataFrame, done: DataFrame, hot: int =
 
 
 def alike(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """The pairs of nodes whose sets of k-word shingles (as 64-bit hashes) have at least the similarity (Jaccard).
+    """The pairs of nodes whose sets of k-word shingles (as 32-bit hashes) have at least the similarity (Jaccard).
 
     reps: node, id of a document with that text. The second frame is the
     staged table of sets, to discard once the first has been read.
@@ -286,7 +309,7 @@ def alike(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int = NEAR_SHIN
         for batch in sliced(batches):
             given = texts(batch.column(0))
             nodes = np.array([text_node(x) for x in given], dtype=np.uint64)
-            own = [np.unique(shingle_hashes(x, k)).tobytes() for x in given]
+            own = [np.unique(shingle_hashes(x, k).astype(np.uint32)).tobytes() for x in given]
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(own, pa.binary())], ["node", "shingles"])
 
     named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -299,7 +322,7 @@ def alike(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int = NEAR_SHIN
     @F.pandas_udf("boolean")
     def enough(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(p, q):
-            p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+            p, q = np.frombuffer(p, dtype=np.uint32), np.frombuffer(q, dtype=np.uint32)
             if min(len(p), len(q)) < similarity * max(len(p), len(q)) - 1e-9:
                 return False
             both = len(np.intersect1d(p, q, assume_unique=True))
@@ -320,22 +343,26 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Everything but the joins by id runs on ids and hashes, without texts.
     """
     own = staged(marks(docs, common_shingles(docs)), "marks")
-    reps = own.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    reps = own.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
     reps = staged(reps, "reps")
+    discard(own)
     shared = shared_keys(reps)
     pairs = first_pairs(shared)
-    links, sets = alike(pairs, docs, reps)
+    near = near_maps(pairs, reps)
+    links, sets = alike(near, docs, reps)
     links = staged(links, "alike")
+    discard(near, sets)
     nodes = components(links)
     later = later_pairs(shared, nodes, pairs)
-    if not later.isEmpty():
-        more, more_sets = alike(later, docs, reps)
+    near = near_maps(later, reps)
+    if not near.isEmpty():
+        more, sets = alike(near, docs, reps)
         nodes = components(links.unionByName(more))
-        discard(more_sets)
+        discard(sets)
     placed = reps.select("node", "id").join(nodes, "node", "left").withColumn("root", F.coalesce("component", "node"))
     last = F.struct(F.col("id").isNull(), "id", "node")
     kept = staged(placed.groupBy("root").agg(F.min_by(F.struct("id", "node"), last).alias("k")).select("k.id", "k.node"), "kept")
-    discard(own, reps, shared, pairs, links, sets, later)
+    discard(reps, shared, pairs, links, later, near)
 
     @F.pandas_udf("long")
     def node(column: pd.Series) -> pd.Series:
