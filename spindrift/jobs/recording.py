@@ -17,10 +17,9 @@ def recording(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
 
 
-def first_channels(spark, sf_dir, n=4):
-    """sample, channel, x of some channels, for the kernels that Python runs."""
-    df = recording(spark, sf_dir).select("vec_id", F.slice("embedding", 1, n).alias("c"))
-    return signals.long_form(df, "vec_id", "c")
+def every_channel(spark, sf_dir):
+    """sample, channel, x of all channels, for the kernels that Python runs."""
+    return signals.long_form(recording(spark, sf_dir), "vec_id", "embedding")
 
 
 @query(f"WITH {V} SELECT vec_id, round(list_median(x), 6) AS common, round(list_sum([abs(y - list_median(x)) FOR y IN x]), 6) AS rest FROM v")
@@ -76,34 +75,34 @@ def pca_block(spark, sf_dir):
 
 @query(None)
 def band_pass(spark, sf_dir):
-    return signals.band_pass(first_channels(spark, sf_dir), ("channel",), 30, 80, RATE, CHUNK, OVERLAP)
+    return signals.band_pass(every_channel(spark, sf_dir), ("channel",), 30, 80, RATE, CHUNK, OVERLAP)
 
 
 @query(None)
 def hilbert_envelope(spark, sf_dir):
-    return signals.hilbert(first_channels(spark, sf_dir), ("channel",), 30, 80, RATE, CHUNK, OVERLAP)
+    return signals.hilbert(every_channel(spark, sf_dir), ("channel",), 30, 80, RATE, CHUNK, OVERLAP)
 
 
 @query(None)
 def mua_envelope(spark, sf_dir):
-    return signals.envelope(first_channels(spark, sf_dir), ("channel",), 100, 300, RATE, 25, CHUNK, OVERLAP)
+    return signals.envelope(every_channel(spark, sf_dir), ("channel",), 100, 300, RATE, 25, CHUNK, OVERLAP)
 
 
 @query(None)
 def spike_density(spark, sf_dir):
-    return signals.density(first_channels(spark, sf_dir), ("channel",), 100, 450, RATE, 10, 2.0, CHUNK, OVERLAP, 2.0)
+    return signals.density(every_channel(spark, sf_dir), ("channel",), 100, 450, RATE, 10, 2.0, CHUNK, OVERLAP, 2.0)
 
 
 @query(None)
 def phase_amplitude_coupling(spark, sf_dir):
-    return signals.phase_amplitude(first_channels(spark, sf_dir), ("channel",), (4, 8), (30, 80), RATE, 125, CHUNK, OVERLAP)
+    return signals.phase_amplitude(every_channel(spark, sf_dir), ("channel",), (4, 8), (30, 80), RATE, 125, CHUNK, OVERLAP)
 
 
 @query(None)
 def ncc_template(spark, sf_dir):
-    return signals.matched(first_channels(spark, sf_dir), ("channel",), np.hanning(32), CHUNK)
+    return signals.matched(every_channel(spark, sf_dir), ("channel",), np.hanning(32), CHUNK)
 
 
 @query(None)
 def find_peaks_distance_prominence(spark, sf_dir):
-    return signals.find_peaks(first_channels(spark, sf_dir), ("channel",), CHUNK, OVERLAP, height=0.1, distance=10, prominence=0.1)
+    return signals.find_peaks(every_channel(spark, sf_dir), ("channel",), CHUNK, OVERLAP, height=0.1, distance=10, prominence=0.1)

@@ -43,3 +43,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["band_pass", "hilbert_envelope", "mua_envelope", "spike_density", "phase_amplitude_coupling", "ncc_template", "find_peaks_distance_prominence"])
+def test_signal_queries_take_every_channel(spark, sf_dir, name):
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("max(size(embedding))").first()[0]
+    got = {r["channel"] for r in catalogue.QUERIES[name](spark, sf_dir).select("channel").distinct().collect()}
+    assert got == set(range(n)) and n > 4
