@@ -26,6 +26,7 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+PIECE = re.compile(r"[A-Za-z0-9]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 #: Characters in a window; bits a character that a window of each class must have.
@@ -44,7 +45,6 @@ ALLOWED = (
 
 _HEX_RUN = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _WORD_RUN = bytes(120 if chr(i).isascii() and (chr(i).isalnum() or chr(i) in "+/_=-") else 32 for i in range(256))
-_DIGITS = [str(i).encode() for i in range(10)]
 _KEYWORDS = (b"passw", b"secret", b"token", b"api")
 
 SCHEMA = (
@@ -61,11 +61,12 @@ def window_class(lower: int, upper: int, other: int, beyond_f: int) -> str:
     return "base64"
 
 
-def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
+def entropy_spans(text: str, window: int = WINDOW, variety: bool = False) -> list[tuple[int, int]]:
     """Spans of a candidate string whose windows exceed their class's threshold; touching ones are joined.
 
     A window slides by one character; its entropy follows from the counts that
     the entering and leaving characters change: H = log2 w - sum(c log2 c) / w.
+    With ``variety`` a digit or letters of both cases do in place of LEAST_DIGITS.
     """
     clog = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
     found: list[tuple[int, int]] = []
@@ -91,7 +92,8 @@ def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
                 other += step
         if i + 1 < window:
             continue
-        if digits < LEAST_DIGITS or lower + upper < LEAST_LETTERS:
+        varied = digits or (lower and upper) if variety else digits >= LEAST_DIGITS
+        if not varied or lower + upper < LEAST_LETTERS:
             continue
         bits = math.log2(window) - total / window
         if bits >= THRESHOLDS[window_class(lower, upper, other, beyond)]:
@@ -111,34 +113,51 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def without(a: int, b: int, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the cuts leave of the span."""
+    out = []
+    for s, e in sorted(cuts):
+        if s >= b or e <= a:
+            continue
+        if s > a:
+            out.append((a, s))
+        a = max(a, e)
+    return [*out, (a, b)] if a < b else out
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Entropy spans that no base span touches and the allow-list doesn't suppress."""
+    """The candidate strings in which some window passes, less what base spans hold.
+
+    Keyword assignments and allow-listed parts (a placeholder takes the letters
+    and digits around it) end a candidate; hex and access spans may lie in one.
+    """
     out = []
     for m in CANDIDATE.finditer(text):
-        if any(p.search(m.group()) for p in ALLOWED):
+        if any(p.search(m.group()) for p in ALLOWED[2:]):
             continue
-        for a, b in entropy_spans(m.group()):
-            a, b = a + m.start(), b + m.start()
-            if not any(s < b and a < e for s, _, e in base):
-                out.append((a, 3, b))
+        cuts = [(s, e) for s, k, e in base if k == 0]
+        cuts += [(u.start() + m.start(), u.end() + m.start()) for u in ALLOWED[0].finditer(m.group())]
+        cuts += [(w.start() + m.start(), w.end() + m.start()) for w in PIECE.finditer(m.group()) if ALLOWED[1].search(w.group())]
+        for a, b in without(m.start(), m.end(), cuts):
+            if b - a >= WINDOW and entropy_spans(text[a:b], variety=True):
+                out += [(s, 3, e) for s, e in without(a, b, [(s, e) for s, _, e in base])]
     return out
 
 
 def spans_of(raw: bytes) -> tuple[list, list]:
     """Base and added spans of one text. The byte tests only rule out texts that can't hold a match."""
     low = raw.lower()
-    digit = any(d in raw for d in _DIGITS)
     may = (
         any(k in low for k in _KEYWORDS)
         or b"AKIA" in raw
         or b"x" * 24 in raw.translate(_HEX_RUN)
-        or (digit and b"x" * WINDOW in raw.translate(_WORD_RUN))
+        or b"x" * WINDOW in raw.translate(_WORD_RUN)
     )
     if not may:
         return [], []
     text = raw.decode("utf-8")
     base = base_spans(text)
-    return base, added_spans(text, base) if digit else []
+    return base, added_spans(text, base)
 
 
 def _join(spans) -> str:

@@ -72,3 +72,18 @@ def test_redact_masks_only_secrets(documents, odd_rows):
     assert got.columns == docs.columns
     kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
     assert kept == Counter((i, t) for i, t, *_ in odd_rows) + Counter([(20, 'x [secret]" y')])
+
+
+def test_tokens_with_few_digits_are_found_whole():
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet in (letters, letters + "0123456789"):
+        for n in (20, 24, 32, 40):
+            tokens = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(300)]
+            whole = sum(secrets.spans_of(f"see {t} there".encode()) == ([], [(4, 3, 4 + n)]) for t in tokens)
+            assert whole >= 0.97 * len(tokens), (alphabet, n)
+    token = "q7Zt0Xw3Lk9Pd2Vb6Nm1Rs8Y"
+    at = len("docs/example/")
+    assert secrets.spans_of(f"docs/example/{token}".encode())[1] == [(at - 1, 3, at + len(token))]
+    mixed = f"{token}_{HEX40}_{token}"
+    assert secrets.spans_of(mixed.encode())[1] == [(0, 3, 25), (65, 3, len(mixed))]
