@@ -22,8 +22,20 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def sliced(batches, rows: int = 256):
-    """The same rows in smaller batches, which bound what a task holds besides its input."""
+def sliced(batches, rows: int = 256, size: int = 2 << 20):
+    """The same rows in smaller batches of about ``size`` bytes at most, which bound what a task holds besides its input."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def over_rows(docs: DataFrame, change) -> DataFrame:
+    """docs with change(batch, place of text in it), which keeps the columns, over all rows in small batches."""
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def rows(batches):
+        for batch in sliced(batches):
+            yield change(batch, at)
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -13,7 +13,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large stars hook each node's larger neighbours to its smallest one, small
     stars its smaller neighbours, until nothing moves; a path of n nodes takes
-    about log n rounds. Each star is an aggregation and a join on a node, so
+    about log n rounds. The result reads a staged table, which can be
+    discarded through it. Each star is an aggregation and a join on a node, so
     a hub's many rows are pre-aggregated and its join may be split.
     """
     now = staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -37,7 +38,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components still move after {most_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out.staged_at = now.staged_at
+    return out
 
 
 def _mark(links: DataFrame) -> tuple:

@@ -21,12 +21,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.columns import id_bucket, sliced, texts
+from spindrift.llm.columns import id_bucket, over_rows, sliced, texts
 
 DIMS = 4096
 #: Most labelled documents to learn from, and most languages.
@@ -221,12 +220,9 @@ def predict(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.2) -> DataFrame:
     """The documents whose language is known: predicted, and not unlike every family. All columns stay."""
-    @F.pandas_udf("boolean")
-    def known(column: pd.Series) -> pd.Series:
-        out: list[bool] = []
-        for at in range(0, len(column), 256):
-            names, scores = model.predict([(x or "").encode() for x in column[at : at + 256]])
-            out += [n != "und" and s >= least for n, s in zip(names, scores, strict=True)]
-        return pd.Series(out, dtype=bool)
-
-    return docs.where(known(F.col("text")))
+
+    def change(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        names, scores = model.predict(texts(batch.column(at)))
+        return batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return over_rows(docs, change)

@@ -1,7 +1,7 @@
 """Packing documents into sequences of a fixed length by Karmarkar-Karp differencing.
 
 A document's ids (with one closing id) are cut into full sequences and a rest;
-the rests are cut into pieces of at most PIECE ids, dealt by hash into groups
+the rests are cut into pieces of at most PIECE ids, dealt by a hash of piece and place into groups
 of about GROUP pieces, and each group's pieces are differenced into near-equal
 windows. A group's window count starts at its ids divided by the capacity and
 rises whenever a window would exceed it.
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ from spindrift.llm.columns import sliced, texts
 CAPACITY, PIECE, GROUP = 2048, 512, 1024
 END_ID = 1
 #: Words whose ids a task remembers; beyond it the memory is emptied.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 class WordIds(dict):
@@ -164,23 +163,25 @@ def windows(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP) -> DataFrame:
     """One row per piece, with its sequence_id and its offset there."""
-    cut = staged(pieces(docs, tokenizer, capacity, piece), "pieces")
+    cut = pieces(docs, tokenizer, capacity, piece).withColumn("place", F.monotonically_increasing_id())
+    cut = staged(cut, "pieces")
     n_groups = max(1, round(cut.count() / group))
 
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        lengths = pdf["length"].to_numpy()
-        whole = np.flatnonzero(lengths == capacity)
-        rest = np.flatnonzero(lengths != capacity)
-        sequence, offset = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf), dtype=np.int64)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+    def packed(given: pa.Table) -> pa.Table:
+        given = given.sort_by([(c, "ascending") for c in (*names[:4], "place")])
+        lengths = given["length"].to_numpy()
+        whole, rest = np.flatnonzero(lengths == capacity), np.flatnonzero(lengths != capacity)
+        sequence, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
         sequence[whole] = np.arange(len(whole))
         for i, own in enumerate(windows(lengths[rest].tolist(), capacity)):
             at = rest[own]
             sequence[at] = len(whole) + i
             offset[at] = np.cumsum(lengths[at]) - lengths[at]
-        base = int(pdf["part"].iloc[0]) << 32
-        return pdf.drop(columns="part").assign(sequence_id=base + sequence, offset=offset)
+        base = given["part"][0].as_py() << 32
+        return pa.Table.from_arrays([*[given[c] for c in names[:5]], pa.array(base + sequence), pa.array(offset)], names=names)
 
-    dealt = F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(n_groups))
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return cut.withColumn("part", dealt).groupBy("part").applyInPandas(packed, schema)
+    # a row's place takes part, so that repeated rows are dealt out like others
+    dealt = F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", "place"), F.lit(n_groups))
+    return cut.withColumn("part", dealt).groupBy("part").applyInArrow(packed, ", ".join(f"{c} long" for c in names))

@@ -12,12 +12,11 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.columns import texts
+from spindrift.llm.columns import over_rows, texts
 
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -186,21 +185,19 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every span replaced by the mark; null texts stay null."""
 
-    @F.pandas_udf("string")
-    def masked(column: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            base, more = spans_of(text.encode())
-            if not base and not more:
-                return text
-            out, at = [], 0
-            for a, _, b in sorted(base + more):
-                if a >= at:
-                    out += [text[at:a], mark]
-                at = max(at, b)
-            return "".join([*out, text[at:]])
-
-        return column.map(one, na_action="ignore").astype(object).where(column.notna(), None)
-
-    return docs.withColumn("text", masked(F.col("text")))
+    def one(raw: bytes) -> str:
+        base, more = spans_of(raw)
+        text = raw.decode("utf-8")
+        out, at = [], 0
+        for a, _, b in sorted(base + more):
+            if a >= at:
+                out += [text[at:a], mark]
+            at = max(at, b)
+        return "".join([*out, text[at:]])
+
+    def change(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        column = batch.column(at)
+        masked = [None if null else one(raw) for raw, null in zip(texts(column), column.is_null().to_pylist(), strict=True)]
+        return batch.set_column(at, batch.schema.field(at), pa.array(masked, column.type))
+
+    return over_rows(docs, change)

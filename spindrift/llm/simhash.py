@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     placed = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").withColumn("root", F.coalesce("component", "fp"))
     totals = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
     of_fp = staged(placed.select("fp", "root").join(totals, "root").select("fp", "component_id", "component_size"), "components")
-    discard(distinct)
+    discard(distinct, nodes)
     return own.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size"
     )
@@ -196,36 +196,35 @@ def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: fl
 def parities(own: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
     """A bit map in which each shingle turns one bit over: two maps differ in no more bits than the sets in shingles."""
     n = np.bincount((own & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
-    return np.packbits((n & 1).astype(bool), bitorder="little").view(np.int64)
+    return np.packbits((n & 1).astype(bool), bitorder="little").view(np.uint64)
+
+
+def row_keys() -> list[Column]:
+    """What tells documents apart: unnumbered (doc_id is null), number (else 0), and node: XXH64 of the words, A-Z in lower case, joined by blanks."""
+    number = F.col("doc_id").cast("long")
+    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
+    flat = F.trim(F.regexp_replace(low, r"[\x09-\x0D\x20]+", " "))
+    return [number.isNull().alias("unnumbered"), F.coalesce(number, F.lit(0)).alias("number"), F.xxhash64(flat).alias("node")]
 
 
 def marks(docs: DataFrame, common: np.ndarray, k: int = NEAR_SHINGLE) -> DataFrame:
-    """id, node (XXH64 of the text's words, A-Z in lower case, joined by blanks), size (its shingles), prefix (the first of them), parity (their bit map)."""
+    """The row keys, size (a text's distinct shingles), prefix (the first of them), parity (their bit map)."""
     order = np.argsort(common)
     known, rank = common[order], len(common) - order
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            given = texts(batch.column(1))
-            nodes = np.array([text_node(x) for x in given], dtype=np.uint64)
             sizes, firsts, maps = [], [], []
-            for x in given:
+            for x in texts(batch.column(3)):
                 own = np.unique(shingle_hashes(x, k))
                 sizes.append(len(own))
                 firsts.append(prefix(own, known, rank))
-                maps.append(parities(own).tobytes())
-            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
-            flat = np.concatenate([*firsts, np.zeros(0, dtype=np.uint64)])
-            lists = pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))
-            columns = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(maps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "size", "prefix", "parity"])
-
-    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return given.mapInArrow(rows, "id long, node long, size int, prefix array<long>, parity binary")
+                maps.append(parities(own))
+            lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, v)]).astype(np.int32), pa.array(np.concatenate([*v, np.zeros(0, dtype=v[0].dtype)]).view(np.int64))) for v in (firsts, maps)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), *lists], ["unnumbered", "number", "node", "size", "prefix", "parity"])
 
-
-def text_node(raw: bytes) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(raw.lower().split()), SEED)
+    given = docs.select(*row_keys(), F.col("text").cast("string").alias("text"))
+    return given.mapInArrow(rows, "unnumbered boolean, number long, node long, size int, prefix array<long>, parity array<long>")
 
 
 def may_be_alike(similarity: float = SIMILARITY) -> Column:
@@ -248,17 +247,12 @@ def _sides(a: DataFrame, b: DataFrame, *on: str, extra: tuple[str, ...] = ()) ->
 
 
 def near_maps(pairs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) without those whose bit maps differ in more bits than the sets of alike ones may in shingles."""
-
-    @F.pandas_udf("int")
-    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
-        p, q = (np.frombuffer(b"".join(v), dtype=np.uint64).reshape(len(v), -1) for v in (x, y))
-        return pd.Series(np.bitwise_count(p ^ q).sum(axis=1).astype(np.int32))
-
+    """The pairs (a, b) without those whose bit maps differ in more bits than the sets of alike ones may in shingles; staged."""
     sided = pairs.join(reps.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("parity").alias("x")), "a")
     sided = sided.join(reps.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("parity").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, m: n + m)
     most = (1 - similarity) / (1 + similarity) * (F.col("sa") + F.col("sb")) + 1e-9
-    return staged(sided.where(apart("x", "y") <= most).select("a", "b"), "near")
+    return staged(sided.where(apart <= most).select("a", "b"), "near")
 
 
 def first_pairs(shared: DataFrame, hot: int = NEAR_HOT) -> DataFrame:
@@ -298,77 +292,71 @@ def later_pairs(shared: DataFrame, nodes: DataFrame, done: DataFrame, hot: int =
     return found
 
 
-def alike(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """The pairs of nodes whose sets of k-word shingles (as 32-bit hashes) have at least the similarity (Jaccard).
+def alike(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs of nodes whose sets of k-word shingles (as 32-bit hashes) have at least the similarity (Jaccard); staged.
 
-    reps: node, id of a document with that text. The second frame is the
-    staged table of sets, to discard once the first has been read.
+    reps: node, and unnumbered and number of a document with that text.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            given = texts(batch.column(0))
-            nodes = np.array([text_node(x) for x in given], dtype=np.uint64)
-            own = [np.unique(shingle_hashes(x, k).astype(np.uint32)).tobytes() for x in given]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(own, pa.binary())], ["node", "shingles"])
+            own = [np.unique(shingle_hashes(x, k).astype(np.uint32)).tobytes() for x in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["node", "shingles"])
 
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = reps.select("node", "id").join(named, "node").select("id").distinct()
-    given = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    own = given.join(ids, given["id"].eqNullSafe(ids["id"]), "left_semi").select("text").mapInArrow(sets, "node long, shingles binary")
-    table = staged(own, "shingles")
-    shingles = table.groupBy("node").agg(F.min("shingles").alias("shingles"))  # an id may have several texts, and rows be repeated
-
-    @F.pandas_udf("boolean")
-    def enough(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(p, q):
-            p, q = np.frombuffer(p, dtype=np.uint32), np.frombuffer(q, dtype=np.uint32)
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(x: bytes, y: bytes) -> bool:
+            p, q = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
             if min(len(p), len(q)) < similarity * max(len(p), len(q)) - 1e-9:
                 return False
             both = len(np.intersect1d(p, q, assume_unique=True))
             return both >= similarity * (len(p) + len(q) - both) - 1e-9
 
-        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
+        for batch in sliced(batches):
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            held = pa.array([one(p, q) for p, q in zip(x, y, strict=True)], pa.bool_())
+            yield batch.select([0, 1]).filter(held)
 
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = reps.select("unnumbered", "number", "node").join(named, "node")
+    keys = ["unnumbered", "number", "node"]
+    given = docs.select(*row_keys(), F.col("text").cast("string").alias("text")).join(wanted, keys, "left_semi")
+    table = staged(given.select("node", "text").mapInArrow(sets, "node long, shingles binary"), "shingles")
+    shingles = table.groupBy("node").agg(F.min("shingles").alias("shingles"))  # rows may be repeated
     sided = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     sided = sided.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return sided.where(enough("x", "y")).select("a", "b"), table
+    found = staged(sided.select("a", "b", "x", "y").mapInArrow(enough, "a long, b long"), "alike")
+    discard(table)
+    return found
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without all but the smallest doc_id of each group of near copies (five words, 0.8). All columns stay.
 
     Texts that are equal but for white space and the case of A-Z count as one.
-    Rows with equal doc_id and text leave one row; null ids are the last choice.
-    Everything but the joins by id runs on ids and hashes, without texts.
+    Rows with equal doc_id and text leave one row; null ids are the last
+    choice. Everything but the reading of texts runs on ids and hashes; texts
+    are shuffled once to fetch those that have candidates, and once to keep.
     """
-    own = staged(marks(docs, common_shingles(docs)), "marks")
-    reps = own.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-    reps = staged(reps, "reps")
-    discard(own)
+    keys = ["unnumbered", "number", "node"]
+    own = marks(docs, common_shingles(docs))
+    least = F.min(F.struct("unnumbered", "number")).alias("id")
+    reps = own.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("size", "prefix", "parity")])
+    reps = staged(reps.select("id.*", "node", "size", "prefix", "parity"), "reps")
     shared = shared_keys(reps)
     pairs = first_pairs(shared)
     near = near_maps(pairs, reps)
-    links, sets = alike(near, docs, reps)
-    links = staged(links, "alike")
-    discard(near, sets)
+    links = alike(near, docs, reps)
     nodes = components(links)
     later = later_pairs(shared, nodes, pairs)
+    discard(shared, pairs, near)
     near = near_maps(later, reps)
+    used = [reps, links, later, near, nodes]
     if not near.isEmpty():
-        more, sets = alike(near, docs, reps)
+        more = alike(near, docs, reps)
         nodes = components(links.unionByName(more))
-        discard(sets)
-    placed = reps.select("node", "id").join(nodes, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    last = F.struct(F.col("id").isNull(), "id", "node")
-    kept = staged(placed.groupBy("root").agg(F.min_by(F.struct("id", "node"), last).alias("k")).select("k.id", "k.node"), "kept")
-    discard(reps, shared, pairs, links, later, near)
-
-    @F.pandas_udf("long")
-    def node(column: pd.Series) -> pd.Series:
-        return pd.Series(np.array([text_node((x or "").encode()) for x in column], dtype=np.uint64).view(np.int64))
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    rows = rows.join(kept, rows["id"].eqNullSafe(kept["id"])).select("row", rows["id"].alias("id"), "node")
-    rows = rows.where(node(F.col("row.text").cast("string")) == F.col("node"))
-    return rows.dropDuplicates(["id", "node"]).select("row.*")
+        used += [more, nodes]
+    placed = reps.select(*keys).join(nodes, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    kept = staged(placed.groupBy("root").agg(F.min(F.struct(*keys)).alias("k")).select("k.*"), "kept")
+    discard(*used)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_keys())
+    return rows.dropDuplicates(keys).join(kept, keys).select("row.*")

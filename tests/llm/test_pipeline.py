@@ -29,7 +29,7 @@ def test_run_on_documents(spark, sf_dir):
     sets = {i: set(simhash.shingle_hashes(texts[i].encode(), 5).tolist()) for i in texts}
     alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     left = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if alike(a, b)]
-    assert len(left) <= 2  # candidates come from fingerprints, which may miss a near copy in a hundred
+    assert not left
     gone = set(texts) - set(ids)
     assert gone and all(any(alike(g, i) for i in texts if i != g) for g in gone)
     masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_scan(spark, single, sf_dir).collect()}
