@@ -41,7 +41,7 @@ NEAR_SHINGLE, SIMILARITY = 5, 0.8
 NEAR_HOT = 16
 #: Texts in the sample by which shingles are ordered, and the most shingles that are known as common.
 ORDER_SAMPLE, ORDER_MOST = 4000, 65_536
-#: 64-bit words of a text's bit map (a power of two).
+#: Fewest 64-bit words of a text's bit map (a power of two).
 PARITY_WORDS = 16
 
 
@@ -193,8 +193,12 @@ def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: fl
     return own[np.lexsort((own, weight))[:n]]
 
 
-def parities(own: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
-    """A bit map in which each shingle turns one bit over: two maps differ in no more bits than the sets in shingles."""
+def parities(own: np.ndarray) -> np.ndarray:
+    """A bit map in which each shingle turns one bit over: two maps differ in no more bits than the sets in shingles.
+
+    It has two to four bits for a shingle, a power of two in all; a map is folded to half its length by joining its halves with XOR.
+    """
+    words = max(PARITY_WORDS, 1 << (math.ceil(2 * len(own) / 64) - 1).bit_length())
     n = np.bincount((own & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
     return np.packbits((n & 1).astype(bool), bitorder="little").view(np.uint64)
 
@@ -250,7 +254,14 @@ def near_maps(pairs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY)
     """The pairs (a, b) without those whose bit maps differ in more bits than the sets of alike ones may in shingles; staged."""
     sided = pairs.join(reps.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("parity").alias("x")), "a")
     sided = sided.join(reps.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("parity").alias("y")), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, m: n + m)
+    sided = sided.where(F.least("sa", "sb") >= similarity * F.greatest("sa", "sb") - 1e-9)
+
+    def fit(own: str, other: str) -> Column:  # sizes that may be alike have maps of equal lengths, or of one half of the other
+        half = (F.size(own) / 2).cast("int")
+        folded = F.zip_with(F.slice(own, 1, half), F.slice(own, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(own) > F.size(other), folded).otherwise(F.col(own))
+
+    apart = F.aggregate(F.zip_with(fit("x", "y"), fit("y", "x"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, m: n + m)
     most = (1 - similarity) / (1 + similarity) * (F.col("sa") + F.col("sb")) + 1e-9
     return staged(sided.where(apart <= most).select("a", "b"), "near")
 
