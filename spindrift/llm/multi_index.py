@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.storage import staged
+from spindrift.functions.storage import discard, staged
 from spindrift.llm.graph import components
 
 COSINE, RECALL = 0.9, 0.99
@@ -41,6 +41,10 @@ SAMPLE, CELL, CODEWORDS = 4000, 512, 256
 MEMBERS, VISITORS = 2048, 4096
 
 
+#: So many lengths of vectors get an index, the most frequent ones; vectors of each other length are one cell, where all pairs are compared.
+LENGTHS = 64
+
+
 def usable(v: list | None) -> bytes | None:
     """A vector as doubles, None where it links with nothing."""
     if v is None or not len(v) or any(x is None for x in v):
@@ -157,7 +161,10 @@ def _local_roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
 
 
 def linked(table: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one tile: (rep, links, root) for visitors, links without those by equal vectors; and for linked members with 0 links."""
+    """Of one tile: (rep, links, root) for visitors, links without those by equal vectors; and for linked members.
+
+    A member counts the visitors whose own cell it doesn't visit itself, so each pair that is found counts once at both ends.
+    """
     side = table.column("side").to_numpy()
     rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
     x = unit(table.column("v").to_pylist())
@@ -169,7 +176,13 @@ def linked(table: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.n
     named, place = np.unique(np.concatenate([rep[q], rep[m]]), return_inverse=True)
     root = named[_local_roots(place[: len(q)][i], place[len(q) :][j], len(named))]
     hit = np.unique(j)
-    out = (np.concatenate([rep[q], rep[m][hit]]), np.concatenate([links, np.zeros(len(hit), dtype=np.int64)]))
+    home, visits = table.column("home").to_numpy()[q], table.column("visits").combine_chunks()
+    back = np.zeros(len(hit), dtype=np.int64)
+    for k, member in enumerate(hit.tolist()):
+        own = np.flatnonzero(near[:, member])
+        seen = np.isin(home[own], visits[int(m[member])].values.to_numpy())
+        back[k] = n[q][own[~seen]].sum()
+    out = (np.concatenate([rep[q], rep[m][hit]]), np.concatenate([links, back]))
     return (*out, np.concatenate([root[place[: len(q)]], root[place[len(q) :]][hit]]))
 
 
@@ -185,7 +198,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     ids = staged(given.mapInArrow(read, "vec_id long, v binary").distinct(), "vectors")
     distinct = staged(ids.where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "distinct")
     indices: dict[int, Index] = {}
-    for row in distinct.groupBy(F.octet_length("v").alias("size")).count().orderBy(F.desc("count")).limit(64).collect():
+    for row in distinct.groupBy(F.octet_length("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(LENGTHS).collect():
         part = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / row["count"]) * (1 << 30))
         some = distinct.where((F.octet_length("v") == row["size"]) & part).orderBy("rep").select("v").collect()
         some = some or distinct.where(F.octet_length("v") == row["size"]).orderBy("rep").limit(1).select("v").collect()
@@ -214,11 +227,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     sizes = placed.groupBy("cell").agg(F.count("*").alias("members")).join(visiting, "cell", "left")
     sizes = staged(sizes.select("cell", F.ceil(F.col("members") / MEMBERS).alias("ms"), F.ceil(F.coalesce("visitors", F.lit(1)) / VISITORS).alias("vs")), "cells")
     h = F.xxhash64("rep")
-    members = placed.select("rep", "n", "v", "cell").join(sizes, "cell").select(
-        "rep", "n", "v", "cell", F.pmod(h, "ms").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("vs") - 1)).alias("j"), F.lit(0).alias("side")
+    members = placed.select("rep", "n", "v", "cell", "visits").join(sizes, "cell").select(
+        "rep", "n", "v", "cell", "visits", F.col("cell").alias("home"), F.pmod(h, "ms").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("vs") - 1)).alias("j"), F.lit(0).alias("side")
     )
-    visitors = placed.select("rep", "n", "v", F.explode("visits").alias("cell")).join(sizes, "cell").select(
-        "rep", "n", "v", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ms") - 1)).alias("i"), F.pmod(h, "vs").alias("j"), F.lit(1).alias("side")
+    none = F.array().cast("array<long>").alias("visits")
+    visitors = placed.select("rep", "n", "v", F.col("cell").alias("home"), F.explode("visits").alias("cell")).join(sizes, "cell").select(
+        "rep", "n", "v", "cell", none, "home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ms") - 1)).alias("i"), F.pmod(h, "vs").alias("j"), F.lit(1).alias("side")
     )
 
     def tile(table: pa.Table) -> pa.Table:
@@ -227,6 +241,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
 
     found = members.unionByName(visitors).groupBy("cell", "i", "j").applyInArrow(tile, "rep long, links long, root long")
     found = staged(found.where("links > 0 or root <> rep"), "found")
+    discard(placed, sizes)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     nodes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     result = distinct.join(counts, "rep", "left").join(nodes.withColumnRenamed("node", "rep"), "rep", "left")

@@ -83,3 +83,27 @@ def test_odd_rows(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert mi.near_vectors(empty).count() == 0
     assert mi.near_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()[0]["n_links"] == 0
+
+
+def test_found_pairs_count_at_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(mi, "CELL", 16)
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(1500, 16))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    aside = rng.normal(size=base.shape)
+    aside -= (aside * base).sum(axis=1)[:, None] * base
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    c = rng.uniform(0.9005, 0.93, size=1500)[:, None]
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * aside])
+    cosines = x @ x.T
+    np.fill_diagonal(cosines, 0)
+    near = cosines >= 0.9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in mi.near_vectors(df).collect()}
+    links = np.array([got[i][0] for i in range(len(x))])
+    assert links.sum() >= 0.98 * near.sum() and (links <= near.sum(axis=1)).all()
+    alone = np.flatnonzero(near.sum(axis=1) == 1)
+    other = near[alone].argmax(axis=1)
+    both = np.isin(other, alone)
+    assert (links[alone[both]] == links[other[both]]).all()
+    assert all((got[i][0] > 0) == (got[i][1] != i or any(got[j][1] == i for j in np.flatnonzero(near[i]))) for i in range(len(x)))
