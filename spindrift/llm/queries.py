@@ -9,7 +9,7 @@ from spindrift.llm.columns import read_documents
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read_documents(spark, sf_dir))
+    return pii.pseudonymise(read_documents(spark, sf_dir), pii.key_of(spark))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
