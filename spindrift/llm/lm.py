@@ -7,8 +7,9 @@ fold (DEV), with estimates from the other training folds; scores then use
 estimates from all training folds. A text's tokens are its words, A-Z in lower
 case, then one end; the end before a text is its first word's context.
 
-Counting and looking up go by block: documents of one file split, at most
-BLOCK_ROWS rows of one kind (held out, DEV, other training). A block asks once
+Counting and looking up go by block: BLOCK_ROWS rows of a file in a row, those
+of one kind (held out, DEV, other training). Blocks don't depend on how files
+are split, which may change between scans as executors come and go. A block asks once
 for each of its distinct n-grams, keyed by 64-bit hash; requests meet by hash
 range, where counts of all blocks are summed, and each block gets its answers
 back in the order of its keys. So a frequent n-gram costs a request for each
@@ -96,13 +97,13 @@ def blocked(docs: DataFrame) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *_place(docs))
     fold = id_bucket("doc_id", FOLDS)
     kind = F.when(fold == HELD, 0).when(fold == DEV, 1).otherwise(2).cast("long")
-    segment = F.xxhash64("path", "start", F.floor(F.col("row") / BLOCK_ROWS))
+    segment = F.xxhash64("path", F.floor(F.col("row") / BLOCK_ROWS))
     return given.select("doc_id", "text", segment.bitwiseAND(F.lit(-4)).bitwiseOR(kind).alias("block"))
 
 
 def _place(docs: DataFrame) -> list:
     m = "_metadata"
-    return [F.col(f"{m}.file_path").alias("path"), F.col(f"{m}.file_block_start").alias("start"), F.col(f"{m}.row_index").alias("row")]
+    return [F.col(f"{m}.file_path").alias("path"), F.col(f"{m}.row_index").alias("row")]
 
 
 def from_files(docs: DataFrame) -> DataFrame:
@@ -165,8 +166,18 @@ def answers(asked: DataFrame) -> DataFrame:
 
     def summed(table: pa.Table) -> pa.Table:
         blocks = table.column("block").to_numpy()
-        keys = [np.cumsum(_numbers(x), dtype=np.uint64) for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([_numbers(x) for x in table.column("counts").to_pylist()]).astype(np.float64)
+        parts: dict[int, list] = {}  # a block that lies in two file splits has two requests
+        for block, keys, counts in zip(blocks.tolist(), table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            parts.setdefault(block, []).append((np.cumsum(_numbers(keys), dtype=np.uint64), _numbers(counts)))
+        blocks, keys, counts = np.array(list(parts), dtype=np.int64), [], []
+        for own in parts.values():
+            own_keys, own_counts = own[0]
+            if len(own) > 1:
+                own_keys, place = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
+                own_counts = np.bincount(place, weights=np.concatenate([n for _, n in own]).astype(np.float64)).astype(np.uint64)
+            keys.append(own_keys)
+            counts.append(own_counts)
+        counts = np.concatenate(counts).astype(np.float64)
         sizes = np.array([len(k) for k in keys])
         kind = np.repeat(blocks & 3, sizes)
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -176,7 +187,7 @@ def answers(asked: DataFrame) -> DataFrame:
         own = [place[e - s : e] for s, e in zip(sizes, ends, strict=True)]
         once = np.arange(len(sizes)) == 0
         return pa.table({
-            "level": table.column("level"), "range": table.column("range"), "block": table.column("block"),
+            "level": table.column("level")[: len(sizes)], "range": table.column("range")[: len(sizes)], "block": pa.array(blocks),
             "n_all": pa.array([_planes(n_all[p]) for p in own], pa.binary()),
             "n_rest": pa.array([_planes(n_rest[p]) for p in own], pa.binary()),
             "distinct": pa.array(np.where(once, int((n_all > 0).sum()), 0)),

@@ -91,3 +91,28 @@ def test_weights_are_learned_and_planes_invert():
     assert w[3, 2] > 0.8 and np.allclose(w.sum(axis=1), 1)
     x = np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (np.cumsum(lm._numbers(lm._planes(np.diff(x, prepend=np.uint64(0)))), dtype=np.uint64) == x).all()
+
+
+def test_blocks_may_be_split_between_scans(spark, tmp_path, monkeypatch):
+    rows = [(i, f"w{i % 7} w{i % 5} w{i % 3} w{i}", "en") for i in range(500)]
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.option("parquet.block.size", 1024).option("parquet.page.size", 256).parquet(path)
+    docs = spark.read.parquet(path)
+    whole = sorted(map(tuple, lm.score(docs).collect()))
+    size, real = "spark.sql.files.maxPartitionBytes", lm.staged
+    before = spark.conf.get(size)
+
+    def staged(df, name):
+        out = real(df, name)
+        spark.conf.set(size, "700")
+        return out
+
+    monkeypatch.setattr(lm, "staged", staged)
+    try:
+        for at in ("400", before):
+            spark.conf.set(size, at)
+            got = sorted(map(tuple, lm.score(docs).collect()))
+            assert [r[:5] for r in got] == [r[:5] for r in whole]
+            assert all(abs(a - b) < 1e-6 for r, w in zip(got, whole, strict=True) for a, b in zip(r[5:], w[5:], strict=True))
+    finally:
+        spark.conf.set(size, before)
