@@ -7,7 +7,9 @@ Columns other than doc_id and text are ignored by ``scan`` and kept by
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -130,16 +132,28 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     Keyword assignments and allow-listed parts (a placeholder takes the letters
     and digits around it) end a candidate; hex and access spans may lie in one.
     """
+    kinds = [[(s, e) for s, k, e in base if k == kind] for kind in range(3)]  # each in order, without overlaps
+    ends = [[e for _, e in own] for own in kinds]
+
+    def held(a: int, b: int, some) -> list[tuple[int, int]]:
+        cuts = []
+        for k in some:
+            for s, e in itertools.islice(kinds[k], bisect.bisect_right(ends[k], a), None):
+                if s >= b:
+                    break
+                cuts.append((s, e))
+        return cuts
+
     out = []
     for m in CANDIDATE.finditer(text):
         if any(p.search(m.group()) for p in ALLOWED[2:]):
             continue
-        cuts = [(s, e) for s, k, e in base if k == 0]
+        cuts = held(m.start(), m.end(), [0])
         cuts += [(u.start() + m.start(), u.end() + m.start()) for u in ALLOWED[0].finditer(m.group())]
         cuts += [(w.start() + m.start(), w.end() + m.start()) for w in PIECE.finditer(m.group()) if ALLOWED[1].search(w.group())]
         for a, b in without(m.start(), m.end(), cuts):
             if b - a >= WINDOW and entropy_spans(text[a:b], variety=True):
-                out += [(s, 3, e) for s, e in without(a, b, [(s, e) for s, _, e in base])]
+                out += [(s, 3, e) for s, e in without(a, b, held(a, b, range(3)))]
     return out
 
 

@@ -87,3 +87,12 @@ def test_tokens_with_few_digits_are_found_whole():
     assert secrets.spans_of(f"docs/example/{token}".encode())[1] == [(at - 1, 3, at + len(token))]
     mixed = f"{token}_{HEX40}_{token}"
     assert secrets.spans_of(mixed.encode())[1] == [(0, 3, 25), (65, 3, len(mixed))]
+
+
+def test_a_long_text_of_secrets_takes_linear_time():
+    import time
+
+    text = " ".join(f"password=abc{i}def token: qW3rT5yU7iO9pA1sD3fG{i}" for i in range(8000))
+    began = time.process_time()
+    base, _ = secrets.spans_of(text.encode())
+    assert len(base) == 16_000 and time.process_time() - began < 4
