@@ -5,7 +5,8 @@ trigrams (lower case, everything but letters as blanks), hashed into DIMS
 bins. One linear support vector machine per family against the others picks
 the family; within it, one machine for each pair of languages votes. The
 machines are fitted on the driver on a sample of at most about SAMPLE
-labelled documents, drawn evenly over the languages by a hash of the id;
+labelled documents (LEAST_SHARE of each language at least; every language is
+learned), drawn evenly over the languages by a hash of the id;
 features of whole texts are computed on the executors, before and after.
 
 A text that is null or has no letter is `und` with score 0, and so is every
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from spindrift.llm.columns import id_bucket, over_rows, sliced, texts
 
 DIMS = 4096
-#: Most labelled documents to learn from, and most languages.
-SAMPLE, LANGUAGES = 1600, 160
+#: Most labelled documents to learn from, about, in equal shares of the languages, and the least share.
+SAMPLE, LEAST_SHARE = 1600, 4
 FOLDS = 5
 SLICE = 1 << 18
 
@@ -180,15 +181,13 @@ def fit(docs: DataFrame, folds: int = FOLDS, sample: int = SAMPLE) -> Model:
     train = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_bucket("doc_id", folds) != 0))
-    counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = train.groupBy("lang").count().collect()
     if not counts:
         return Model([], np.zeros((0, DIMS), dtype=np.float32), np.zeros(0, dtype=int))
     languages = sorted(r["lang"] for r in counts)
-    share = sample / len(languages)
+    share = max(LEAST_SHARE, sample / len(languages))
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col("lang") == r["lang"]) & (place < min(1.0, share / r["count"])))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["count"])) for r in counts], "lang string, part double")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -196,7 +195,7 @@ def fit(docs: DataFrame, folds: int = FOLDS, sample: int = SAMPLE) -> Model:
             packed = [v.astype(np.float32).tobytes() for v in x]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["lang", "x"])
 
-    found = train.where(keep).select("lang", "text").mapInArrow(rows, "lang string, x binary").collect()
+    found = train.join(F.broadcast(shares), "lang").where(place < F.col("part")).select("lang", "text").mapInArrow(rows, "lang string, x binary").collect()
     found = sorted((r["lang"], bytes(r["x"])) for r in found)  # the rows' order must not matter
     x = np.array([np.frombuffer(v, dtype=np.float32) for _, v in found]).reshape(-1, DIMS)
     present = sorted({k for k, _ in found})
