@@ -3,7 +3,8 @@
 Every rolling pair of a text's words is joined by hash to the same pairs of
 the templates. A hit votes for its diagonal, the text position minus the
 template position; diagonals at most DRIFT apart (words put in or left out)
-are merged, and a span counts if its votes cover enough of the template.
+are merged, and a span counts if the template's places that its votes name,
+each once, are enough of the template.
 Phrases are templates that must be covered whole, on one diagonal; hits are
 compared word by word, so a hash collision can't add any.
 
@@ -44,7 +45,7 @@ TEMPLATES = (
 )
 
 DRIFT = 3
-#: Share of a template's pairs that must be voted for: whole phrases, short templates (under SHORT pairs), long ones.
+#: Share of a template's pairs that must be found: whole phrases, short templates (under SHORT pairs), long ones.
 COVER_SHORT, COVER_LONG, SHORT = 0.9, 0.6, 8
 #: A span may be this many times as long as its template.
 STRETCH = 1.5
@@ -90,16 +91,15 @@ def spans(found: DataFrame) -> DataFrame:
     """doc_id, tx, label, phrase, first (word), last (word), cover of every verified span."""
     key = ["doc_id", "tx", "template", "label", "phrase", "pairs"]
     votes = found.where("template is not null").select(*key, "tpos", "pos").distinct()
-    diagonals = votes.groupBy(*key, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + 1).alias("last")
-    )
-    whole = diagonals.where("phrase and votes = pairs").withColumn("cover", F.lit(1.0))
+    votes = votes.withColumn("diagonal", F.col("pos") - F.col("tpos"))
+    whole = votes.where("phrase").groupBy(*key, "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + 1).alias("last"))
+    whole = whole.where("votes = pairs").withColumn("cover", F.lit(1.0))
     w = Window.partitionBy("doc_id", "tx", "template").orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > DRIFT).cast("int"), F.lit(0))
     merged = (
-        diagonals.where("not phrase").withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w))
-        .groupBy(*key, "run").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-        .withColumn("cover", F.least(F.col("votes") / F.col("pairs"), F.lit(1.0)))
+        votes.where("not phrase").withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*key, "run").agg(F.count_distinct("tpos").alias("held"), F.min("pos").alias("first"), (F.max("pos") + 1).alias("last"))
+        .withColumn("cover", F.col("held") / F.col("pairs"))
     )
     enough = F.col("cover") >= F.when(F.col("pairs") < SHORT, COVER_SHORT).otherwise(COVER_LONG)
     fits = F.col("last") - F.col("first") <= STRETCH * (F.col("pairs") + 1)

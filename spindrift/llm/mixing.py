@@ -5,13 +5,15 @@ belong to). Each pattern offers its tokens once free of cost, a second time at
 cost 1, a third at cost 2 and so on: convex repetition costs. The flow routes
 this capacity to the sources' quotas at the least cost, and each pattern's
 flow is then met by whole passes over its documents plus documents in the
-order of a seeded hash until the rest is reached (to half a document).
+order of a seeded hash until the rest is reached (to half a document). The
+order is total but for equal rows: hash of the id, size, hash of the row.
 
 The driver holds one row per source and per pattern, at most MOST_PATTERNS
 (beyond, an error asks for coarser sources); documents never reach it. A null
 source is a source of its own, which comes last. Documents without tokens
-are taken as often as their pattern's passes, with nothing. Equal rows share a hash, and which
-of them is taken at the cut is then open, but not how many tokens.
+are taken as often as their pattern's passes, with nothing. Equal rows (in all
+but columns with maps) are interchangeable, and as many are taken in every
+run. Other columns are carried along; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.storage import staged
+from spindrift.functions.storage import discard, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
 MOST_PATTERNS = 20_000
-#: Leading hexadecimal digits of the hash by whose values a pattern's documents are summed; only the range where the cut falls is put in order.
-RANGE_DIGITS = 3
+#: Hexadecimal digits of a document's place, and those by whose values a pattern's documents are summed at a time; only the range where the cut falls is looked into.
+PLACE_DIGITS, RANGE_DIGITS = 64, 3
+#: A range with at most so many different rows is put in order.
+CUT_ROWS = 20_000
 SEED = 17
 
 
@@ -76,24 +80,53 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = MOST_EPOCHS) ->
     for s, quota in quotas.items():
         arc(("s", s), ("to",), quota, 0)
     while True:
-        cost, via, queue = {0: 0}, {}, deque([0])
+        cost, queue = {0: 0}, deque([0])
         while queue:
             x = queue.popleft()
             for i in out[x]:
                 y, left, w = arcs[i]
                 if left > 0 and cost[x] + w < cost.get(y, 1 << 60):
-                    cost[y], via[y] = cost[x] + w, i
+                    cost[y] = cost[x] + w
                     queue.append(y)
         if 1 not in cost:
             return {k: arcs[i ^ 1][1] for k, i in links.items()}
-        path, x = [], 1
-        while x != 0:
-            path.append(via[x])
-            x = arcs[via[x] ^ 1][0]
-        step = min(arcs[i][1] for i in path)
-        for i in path:
-            arcs[i][1] -= step
-            arcs[i ^ 1][1] += step
+        while _filled(arcs, out, cost):
+            pass
+
+
+def _filled(arcs: list[list], out: list[list[int]], cost: dict[int, int]) -> bool:
+    """Fills the shortest of the cheapest paths from node 0 to node 1; false if there is none left."""
+    level, queue = {0: 0}, deque([0])
+    while queue:
+        x = queue.popleft()
+        for i in out[x]:
+            y, left, w = arcs[i]
+            if left > 0 and y not in level and cost.get(y) == cost[x] + w:
+                level[y] = level[x] + 1
+                queue.append(y)
+    if 1 not in level:
+        return False
+    rest = [iter(arcs_of) for arcs_of in out]
+    path: list[int] = []
+    while True:
+        x = arcs[path[-1]][0] if path else 0
+        if x == 1:
+            step = min(arcs[i][1] for i in path)
+            for i in path:
+                arcs[i][1] -= step
+                arcs[i ^ 1][1] += step
+            full = next(k for k, i in enumerate(path) if not arcs[i][1])
+            del path[full:]
+            continue
+        for i in rest[x]:
+            y, left, w = arcs[i]
+            if left > 0 and level.get(y) == level[x] + 1 and cost.get(y) == cost[x] + w:
+                path.append(i)
+                break
+        else:
+            if not path:
+                return True
+            path.pop()
 
 
 def mix(
@@ -104,14 +137,17 @@ def mix(
     sources: an array column of each row's sources. docs is read twice. The
     second frame has source, source_size and target of each source.
     """
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     base = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         size.cast("long").alias("size"),
         F.array_sort(F.array_distinct(sources)).alias("pattern"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("h"),
-    ).withColumn("range", F.substring("h", 1, RANGE_DIGITS))
-    summed = staged(base.groupBy("pattern", "range").agg(F.sum("size").alias("tokens")), "ranges")
-    found = summed.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(MOST_PATTERNS + 1).collect()
+        F.concat(key, *[F.lpad(F.hex(x), 16, "0") for x in (size.cast("long"), F.xxhash64(*plain))]).alias("place"),
+    )
+    sizes_of = base.groupBy("pattern", "place", "size").agg(F.count("*").alias("copies"))
+    sizes_of = staged(sizes_of.withColumn("tokens", F.col("size") * F.col("copies")), "sizes")
+    found = sizes_of.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
     patterns = {tuple(r["pattern"]): r["tokens"] for r in found}
@@ -128,25 +164,50 @@ def mix(
         plan.append((list(p), int(passes), int(give - passes * tokens)))
     spark = docs.sparkSession
     planned = spark.createDataFrame(plan, "pattern array<string>, passes long, rest long")
-    before = F.sum("tokens").over(Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    upto = summed.withColumn("before", F.coalesce(before, F.lit(0))).join(planned, "pattern")
-    cut = upto.where(F.col("before") + F.col("tokens") > F.col("rest")).groupBy("pattern").agg(F.min(F.struct("range", "before")).alias("cut"))
     # a row for each pattern, so at most MOST_PATTERNS
-    cuts = F.broadcast(staged(planned.join(cut, "pattern", "left"), "cuts"))
+    cuts = F.broadcast(staged(planned.join(_cuts(sizes_of, planned), "pattern", "left"), "cuts"))
+    discard(sizes_of)
     rows = base.join(cuts, "pattern")
-    here = F.coalesce(F.col("range") == F.col("cut.range"), F.lit(False))
-    whole = rows.where(~here).withColumn("extra", F.coalesce(F.col("range") < F.col("cut.range"), F.lit(False)).cast("long"))
-    inner = F.sum("size").over(Window.partitionBy("pattern").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
-    middle = F.col("cut.before") + inner - F.col("size") / 2
-    cut_rows = rows.where(here).withColumn("extra", (middle <= F.col("rest")).cast("long"))
-    both = whole.unionByName(cut_rows)
+    here = F.coalesce((F.col("place") == F.col("cut.place")) & F.col("cut.some").between(1, F.col("cut.copies") - 1), F.lit(False))
+    before = F.coalesce(F.col("place") < F.col("cut.place"), F.lit(False))
+    at = F.coalesce(F.col("place") == F.col("cut.place"), F.lit(False)) & (F.col("cut.some") > 0)
+    whole = rows.where(~here).select("row", "size", "pattern", "passes", (before | at).cast("long").alias("extra"))
+    # copies of one row, of which some are taken: the row is written out again
+    split = rows.where(here).groupBy("pattern").agg(*[F.first(c).alias(c) for c in ("row", "size", "passes")], F.first("cut").alias("cut"))
+    split = split.select("row", "size", "pattern", "passes", F.explode(F.sequence(F.lit(1).cast("long"), "cut.copies")).alias("nth"), F.col("cut.some").alias("some"))
+    split = split.select("row", "size", "pattern", "passes", (F.col("nth") <= F.col("some")).cast("long").alias("extra"))
     times = F.col("passes") + F.when(F.col("passes") < most, F.col("extra")).otherwise(0)
-    result = both.select("row", "size", "pattern", times.alias("times"))
+    result = whole.unionByName(split).select("row", "size", "pattern", times.alias("times"))
     shown = [(s, float(sizes[s]), float(target[s])) for s in sizes]
     report = spark.createDataFrame(shown, "source string, source_size double, target double")
     return result.withColumn("taken", F.col("times") * F.col("size")), report
 
 
+def _cuts(sizes_of: DataFrame, planned: DataFrame) -> DataFrame:
+    """pattern, cut: place, copies, and how many of these copies (some) are still taken, where a pattern's documents in order reach its rest.
+
+    The cut is narrowed down by further digits of the place, so what is put in order is at most about CUT_ROWS rows of a pattern.
+    """
+    inside = sizes_of.join(F.broadcast(planned.select("pattern", "rest")), "pattern")
+    digits = RANGE_DIGITS
+    while True:
+        span = F.substring("place", 1, digits)
+        summed = inside.groupBy("pattern", "rest", span.alias("span")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+        before = F.sum("tokens").over(Window.partitionBy("pattern").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+        upto = summed.withColumn("before", F.coalesce(before, F.lit(0)))
+        found = upto.where(F.col("before") + F.col("tokens") > F.col("rest")).groupBy("pattern").agg(F.min(F.struct("span", "before", "n")).alias("in"))
+        found = staged(found.select("pattern", F.col("in.span").alias("span"), F.col("in.before").alias("skipped"), F.col("in.n").alias("n")), "spans")
+        inside = inside.join(F.broadcast(found.select("pattern", "span", "skipped")), "pattern").where(span == F.col("span"))
+        inside = inside.select("pattern", "place", "size", "copies", "tokens", (F.col("rest") - F.col("skipped")).alias("rest"))
+        if digits >= PLACE_DIGITS or (found.agg(F.max("n")).first()[0] or 0) <= CUT_ROWS:
+            break
+        digits += RANGE_DIGITS
+    before = F.sum("tokens").over(Window.partitionBy("pattern").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    at = inside.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") + F.col("tokens") > F.col("rest"))
+    some = F.floor((F.col("rest") - F.col("before")) / F.col("size") + 0.5).alias("some")
+    return at.groupBy("pattern").agg(F.min(F.struct("place", "copies", some)).alias("cut"))
+
+
 def by_source(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document, each in its one source."""
     own = F.array(F.col("source").cast("string"))

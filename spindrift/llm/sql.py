@@ -15,7 +15,7 @@ c AS (SELECT *, 3.0::DOUBLE * total AS cap, row_number() OVER o AS k, coalesce(s
 l AS (SELECT arg_min((every - full_before) / w_left, k) FILTER (cap / w >= (every - full_before) / w_left) AS level FROM c),
 t AS (SELECT source, total, least(cap, level * w) AS target, CAST(floor(least(cap, level * w) + 0.5) AS BIGINT) AS quota FROM c CROSS JOIN l),
 p AS (SELECT source, total, target, CASE WHEN total = 0 THEN 0 ELSE least(3, quota // total) END AS passes, quota - (CASE WHEN total = 0 THEN 0 ELSE least(3, quota // total) END) * total AS rest FROM t),
-o AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY h) AS upto FROM d)
+o AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY h, size ROWS UNBOUNDED PRECEDING) AS upto FROM d)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_size, round(target, 6) AS target,
        CAST((passes + CASE WHEN passes < 3 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source
@@ -34,11 +34,12 @@ LICENSES = rf"""
 WITH t(template, label, phrase, pairs, tpos, t1, t2) AS (VALUES {_pairs()}),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 r AS (SELECT doc_id, unnest(range(len(w) - 1)) AS pos, unnest(w[:-2]) AS w1, unnest(w[2:]) AS w2 FROM d WHERE len(w) > 1),
-g AS (SELECT doc_id, template, label, phrase, pairs, pos - tpos AS diagonal, count(*) AS votes, min(pos) AS first, max(pos) + 1 AS last FROM r JOIN t ON w1 = t1 AND w2 = t2 GROUP BY ALL),
+g AS (SELECT doc_id, template, label, phrase, pairs, tpos, pos, pos - tpos AS diagonal FROM r JOIN t ON w1 = t1 AND w2 = t2),
+e AS (SELECT doc_id, label, count(*) AS votes, min(pos) AS first, pairs FROM g WHERE phrase GROUP BY doc_id, template, label, pairs, diagonal),
 n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {licenses.DRIFT} THEN 1 ELSE 0 END AS fresh FROM g WHERE NOT phrase),
-m AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM n),
-u AS (SELECT doc_id, label, phrase, pairs, min(first) AS first, max(last) AS last, least(1.0::DOUBLE, sum(votes) / pairs) AS cover FROM m GROUP BY doc_id, template, label, phrase, pairs, run),
-v AS (SELECT doc_id, label, TRUE AS phrase, first, 1.0::DOUBLE AS cover FROM g WHERE phrase AND votes = pairs UNION ALL
+m AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM n),
+u AS (SELECT doc_id, label, pairs, min(pos) AS first, max(pos) + 1 AS last, count(DISTINCT tpos) / pairs AS cover FROM m GROUP BY doc_id, template, label, pairs, run),
+v AS (SELECT doc_id, label, TRUE AS phrase, first, 1.0::DOUBLE AS cover FROM e WHERE votes = pairs UNION ALL
       SELECT doc_id, label, FALSE, first, cover FROM u WHERE cover >= (CASE WHEN pairs < {licenses.SHORT} THEN {licenses.COVER_SHORT} ELSE {licenses.COVER_LONG} END) AND last - first <= {licenses.STRETCH} * (pairs + 1)),
 s AS (SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(first) FILTER (phrase) AS first_word, max(first) FILTER (phrase) AS last_word,
       string_agg(DISTINCT CASE WHEN phrase THEN label END, ',' ORDER BY CASE WHEN phrase THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM v GROUP BY doc_id)

@@ -57,3 +57,8 @@ def test_plan_is_native(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for df in (licenses.hits(docs), licenses.scan(docs)):
         assert not re.search("Python|Pandas|Arrow|MapIn", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_repeats_of_one_place_are_no_license(documents):
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(documents([(1, "source code " * 12, "en", "a"), (2, "the gnu lesser general public license", "en", "a")])).collect()}
+    assert got == {1: "", 2: "gpl,lgpl"}

@@ -98,3 +98,35 @@ def test_overlapping_sources(spark):
     taken = {tuple(r["pattern"]): r["t"] for r in mixed.groupBy("pattern").agg(F.sum("taken").alias("t")).collect()}
     assert abs(sum(taken.values()) - sum(target.values())) <= 15
     assert taken["a",] <= target["a"] + 5 and taken["b",] <= target["b"] + 5
+
+
+def test_equal_ids_and_no_ids_agree_in_reruns(documents):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1, 2]), "w " * rng.randint(0, 9) + rng.choice("xyz"), "en", rng.choice(["a", "b"])) for _ in range(300)]
+    rows += [(7, "the same row", "en", "c")] * 200
+    docs = documents(rows)
+    key = lambda df: sorted(map(repr, df.collect()))
+    kept = lambda d: key(mixing.mixed_documents(d))
+    assert key(mixing.by_source(docs)) == key(mixing.by_source(docs.repartition(5)))
+    assert kept(docs.repartition(3)) == kept(docs.repartition(6))
+    taken = defaultdict(int)
+    for r in mixing.by_source(docs).collect():
+        taken[r["target"]] += r["taken"]
+    assert all(abs(t - n) <= 6 for t, n in taken.items())
+
+
+def test_a_long_search_for_the_cut(documents, monkeypatch):
+    rows = [(i, "w " * (i % 7), "en", "abc"[i % 3]) for i in range(400)]
+    whole = sorted(map(repr, mixing.by_source(documents(rows)).collect()))
+    monkeypatch.setattr(mixing, "CUT_ROWS", 1)
+    monkeypatch.setattr(mixing, "RANGE_DIGITS", 1)
+    assert sorted(map(repr, mixing.by_source(documents(rows)).collect())) == whole
+
+
+def test_many_patterns_are_routed_quickly():
+    rng = random.Random(8)
+    patterns = {tuple(sorted(rng.sample(range(60), rng.randint(1, 4)))): rng.randint(1, 10**6) for _ in range(3000)}
+    quotas = {s: 10**7 * (1 + s % 3) for s in range(60)}
+    flow = mixing.route(patterns, quotas)
+    assert all(sum(flow[p, s] for s in p) <= 3 * t for p, t in patterns.items())
+    assert all(sum(v for (_, s), v in flow.items() if s == q) <= t for q, t in quotas.items())
