@@ -27,9 +27,10 @@ def butterworth_bandpass(order: int, low: float, high: float, rate: float) -> np
 
 
 def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """One section along the first axis; z are the two states, a row for each column of x."""
     out, (z0, z1) = np.empty_like(x), z
     b0, b1, b2, a1, a2 = *b.tolist(), *a.tolist()
-    for i, v in enumerate(x.tolist()):
+    for i, v in enumerate(x.tolist() if x.ndim == 1 else x):
         y = b0 * v + z0
         z0, z1 = b1 * v - a1 * y + z1, b2 * v - a2 * y
         out[i] = y
@@ -37,7 +38,10 @@ def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.n
 
 
 def filter_both_ways(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forward and backward, with odd extension at the ends and each section started in its steady state."""
+    """Forward and backward along the first axis, with odd extension at the ends and each section started in its steady state.
+
+    The columns of a matrix are filtered side by side: the loop over time is shared by all channels.
+    """
     x = np.asarray(x, dtype=np.float64)
     pad = min(len(x) - 1, 3 * (2 * len(sos) + 1))
     if len(x) == 0:
@@ -51,7 +55,7 @@ def filter_both_ways(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
             level = (b0 + b1 + b2) / (1 + a1 + a2)
             z1 = b2 - a2 * level
             z0 = b1 - a1 * level + z1
-            y = _section(np.array([b0, b1, b2]), np.array([a1, a2]), y, np.array([z0, z1]) * scale * start)
+            y = _section(np.array([b0, b1, b2]), np.array([a1, a2]), y, (z0 * scale * start, z1 * scale * start))
             scale *= level
         y = y[::-1]
     return y[pad : len(y) - pad] if pad > 0 else y
@@ -66,21 +70,22 @@ def analytic(x: np.ndarray) -> np.ndarray:
         h[1 : (n + 1) // 2] = 2
         if n % 2 == 0:
             h[n // 2] = 1
-    return np.fft.ifft(np.fft.fft(x) * h)
+    return np.fft.ifft(np.fft.fft(x, axis=0) * (h if x.ndim == 1 else h[:, None]), axis=0) if n else x.astype(complex)
 
 
 def median_filter(x: np.ndarray, width: int) -> np.ndarray:
     """Running median of odd width, zeros beyond the ends."""
     width |= 1
-    padded = np.pad(np.asarray(x, dtype=np.float64), width // 2)
-    return np.median(np.lib.stride_tricks.sliding_window_view(padded, width), axis=-1)
+    x = np.asarray(x, dtype=np.float64)
+    padded = np.pad(x, ((width // 2, width // 2), *[(0, 0)] * (x.ndim - 1)))
+    return np.median(np.lib.stride_tricks.sliding_window_view(padded, width, axis=0), axis=-1)
 
 
 def moving_mean(x: np.ndarray, width: int) -> np.ndarray:
     """Running mean, the signal mirrored at its ends."""
-    left = width // 2
-    padded = np.pad(np.asarray(x, dtype=np.float64), (left, width - 1 - left), mode="symmetric")
-    sums = np.concatenate([[0.0], np.cumsum(padded)])
+    left, x = width // 2, np.asarray(x, dtype=np.float64)
+    padded = np.pad(x, ((left, width - 1 - left), *[(0, 0)] * (x.ndim - 1)), mode="symmetric")
+    sums = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(padded, axis=0)])
     return (sums[width:] - sums[:-width]) / width
 
 
@@ -98,8 +103,8 @@ def exponential(x: np.ndarray, tau: float, length: int) -> np.ndarray:
 
 
 def envelope(x: np.ndarray, sos: np.ndarray, width: int) -> np.ndarray:
-    """Band-passed power, averaged and rooted."""
-    return np.sqrt(np.maximum(moving_mean(filter_both_ways(sos, x) ** 2, width), 0))
+    """Band-passed power, its running median, rooted."""
+    return np.sqrt(np.maximum(median_filter(filter_both_ways(sos, x) ** 2, width), 0))
 
 
 def coupling(phase: np.ndarray, amplitude: np.ndarray, width: int) -> np.ndarray:
@@ -141,21 +146,58 @@ def peaks(x: np.ndarray, height: float | None = None, distance: int = 1, promine
         found = found[x[found] >= height]
     if distance > 1 and len(found):
         keep = np.ones(len(found), dtype=bool)
-        for i in np.argsort(x[found], kind="stable")[::-1]:
+        for i in np.argsort(x[found], kind="stable")[::-1].tolist():
             if keep[i]:
-                near = np.abs(found - found[i]) < distance
-                near[i] = False
-                keep &= ~near
+                near = slice(*np.searchsorted(found, [found[i] - distance + 1, found[i] + distance]))
+                keep[near] = False
+                keep[i] = True
         found = found[keep]
-    if prominence is not None:
-        found = np.array([p for p in found if prominence_of(x, p) >= prominence], dtype=np.int64)
+    if prominence is not None and len(found):
+        found = found[prominences(x, found) >= prominence]
     return found
 
 
+def prominences(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How far each peak rises over the higher of the lowest points towards higher ground on either side.
+
+    One pass to each side: a stack holds falling values with the lowest point since each.
+    """
+
+    def lowest(values: list, wanted: set) -> dict:
+        stack: list[list] = []  # value, lowest point since the value before it on the stack
+        out = {}
+        for i, v in enumerate(values):
+            low = v
+            while stack and stack[-1][0] <= v:
+                low = min(low, stack.pop()[1])
+            stack.append([v, low])
+            if i in wanted:
+                out[i] = low
+        return out
+
+    n = len(x)
+    left = lowest(x.tolist(), set(at.tolist()))
+    right = lowest(x[::-1].tolist(), {n - 1 - i for i in at.tolist()})
+    return np.array([x[i] - max(left[i], right[n - 1 - i]) for i in at.tolist()])
+
+
 def prominence_of(x: np.ndarray, p: int) -> float:
-    """How far a peak rises over the higher of the lowest points towards higher ground on either side."""
-    higher = np.flatnonzero(x[:p] > x[p])
-    left = x[higher[-1] + 1 if len(higher) else 0 : p + 1].min()
-    higher = np.flatnonzero(x[p + 1 :] > x[p])
-    right = x[p : p + 1 + higher[0] if len(higher) else len(x)].min()
-    return float(x[p] - max(left, right))
+    return float(prominences(np.asarray(x, dtype=np.float64), np.array([p]))[0])
+
+
+def peaks_or_highest(x: np.ndarray, percentile: float, distance: int = 1, prominence: float | None = None) -> np.ndarray:
+    """Peaks at or over a percentile of the values; where there are none, the place of the largest value."""
+    x = np.asarray(x, dtype=np.float64)
+    if not len(x):
+        return np.zeros(0, dtype=np.int64)
+    found = peaks(x, height=float(np.percentile(x, percentile)), distance=distance, prominence=prominence)
+    return found if len(found) else np.array([int(x.argmax())])
+
+
+def crossings_density(x: np.ndarray, noise: np.ndarray, bin_samples: int, sigma_bins: float, deviations: float) -> np.ndarray:
+    """Samples a bin beyond so many deviations of the noise, smoothed; a row for each bin."""
+    over = (np.abs(x) > deviations * np.maximum(1e-3, noise)).astype(np.float64)
+    if not len(over):
+        return over
+    sums = np.add.reduceat(over, np.arange(0, len(over), bin_samples), axis=0)
+    return np.apply_along_axis(gaussian, 0, sums, sigma_bins)

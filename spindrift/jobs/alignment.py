@@ -227,7 +227,7 @@ def _zero(mode: str, sql: str):
         name=f"clock_zero_{mode}",
     )
     def run(spark, sf_dir):
-        e = events(spark, sf_dir).where("value IS NOT NULL")
+        e = events(spark, sf_dir)
         return clock.zero_clock(e, mode, "session", "t", "event", F.col("code") == "signup").select("event", "t0")
 
     return run
@@ -245,7 +245,7 @@ def piecewise_warp(spark, sf_dir):
     e = events(spark, sf_dir)
     knots = e.where("code = 'purchase'").select("session", F.col("t").alias("x"), F.col("event").cast("double").alias("y"))
     points = e.where("code = 'click'").select("session", "event", "t")
-    return clock.piecewise_warp(points, knots, "session", "t", "x", "y").where("warped IS NOT NULL").select("event", F.round("warped", 4).alias("warped"))
+    return clock.piecewise_warp(points, knots, "session", "t", "x", "y", 7 * DAY).where("warped IS NOT NULL").select("event", F.round("warped", 4).alias("warped"))
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.jobs.alignment import AFTER, BEFORE, COUNTS, MATCH, PAIRS, RATES, WIDTH, matches, rates
@@ -17,7 +16,7 @@ IDX = "i AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t, event
 
 
 def numbered(spark, sf_dir):
-    return events(spark, sf_dir).withColumn("idx", F.row_number().over(Window.partitionBy("session").orderBy("t", "event")).cast("long"))
+    return ranges.numbered(events(spark, sf_dir), ("session",), ("t", "event"), F.floor(F.col("t") / (7 * DAY)))
 
 
 @query(f"WITH {E_}, d AS (SELECT session, t - lag(t) OVER w AS d FROM e {LAG}) SELECT session, round(1e6 / quantile_cont(d, 0.5), 9) AS rate FROM d WHERE d > 0 GROUP BY session")
@@ -36,9 +35,9 @@ def latency_histogram(spark, sf_dir):
 def running_mean_iti(spark, sf_dir):
     """Mean of five intervals, where five are there."""
     e = events(spark, sf_dir).where("code = 'purchase'")
-    w = Window.partitionBy("session").orderBy("t", "event")
-    k = e.withColumn("k", F.row_number().over(w)).withColumn("iti", F.col("t") - F.lag("t").over(w))
-    return k.withColumn("m", F.avg("iti").over(w.rowsBetween(-4, 0))).where("k > 5").select("event", F.round(F.col("m") / 1e6, 4).alias("running"))
+    k = ranges.numbered(e, ("session",), ("t", "event"), F.floor(F.col("t") / (7 * DAY)), "k").select("session", "event", "k", "t")
+    before = k.select("session", (F.col("k") + 5).alias("k"), F.col("t").alias("t5"))  # five intervals are one difference
+    return k.join(before, ["session", "k"]).select("event", F.round((F.col("t") - F.col("t5")) / 5 / 1e6, 4).alias("running"))
 
 
 @query(f"WITH {A}, {S}, {PAIRS}, f AS (SELECT trial, min(d) FILTER (d >= 0) AS first FROM p WHERE unit = 'click' GROUP BY trial), g AS (SELECT a.trial, first FROM a LEFT JOIN f ON f.trial = a.trial) SELECT trial, first FROM g ORDER BY first NULLS LAST, trial LIMIT 200")

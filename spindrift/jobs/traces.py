@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.jobs.registry import query
-from spindrift.jobs.tables import E_, HOUR, A, events, trials
-from spindrift.operators import detect, erp, report, scores
+from spindrift.jobs.tables import DAY, E_, HOUR, A, events, trials
+from spindrift.operators import detect, erp, ranges, report, scores
 
 STAT = "m AS (SELECT code, avg(value) AS mean, quantile_cont(value, 0.5) AS mid, CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS sd FROM e GROUP BY code)"
 Z = "z AS (SELECT e.*, (value - mean) / sd AS z FROM e JOIN m ON m.code = e.code)"
@@ -38,7 +37,7 @@ WIN = (
 
 
 def _windows(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("idx", F.row_number().over(Window.partitionBy("session").orderBy("t", "event")).cast("long"))
+    e = ranges.numbered(events(spark, sf_dir), ("session",), ("t", "event"), F.floor(F.col("t") / (7 * DAY)))
     marks = e.select("session", F.col("event").alias("trial"), "code", F.col("idx").alias("idx0"))
     return erp.windows(marks, e.select("session", "idx", F.col("value").alias("z")), ("session",), 2, 4)
 
@@ -89,6 +88,6 @@ def two_stage_detect(spark, sf_dir):
 )
 def linear_interpolation(spark, sf_dir):
     """Every tenth value of a session kept, the others filled in."""
-    e = events(spark, sf_dir).withColumn("idx", F.row_number().over(Window.partitionBy("session").orderBy("t", "event")).cast("long"))
+    e = ranges.numbered(events(spark, sf_dir), ("session",), ("t", "event"), F.floor(F.col("t") / (7 * DAY)))
     kept = e.select("event", "session", "idx", F.when(F.col("idx") % 10 == 1, F.col("value")).alias("v"))
     return report.interpolated(kept, ("session",), "idx", "v").select("event", F.round("filled", 6).alias("filled"))

@@ -71,12 +71,16 @@ def gap_islands(spark, sf_dir):
 
 
 WIDTH, BY = 10 * MINUTE, 1
-DIL = f"d AS (SELECT DISTINCT code AS feature, greatest(2840256, least(2844575, t // {WIDTH} + o)) AS bin FROM e CROSS JOIN (SELECT unnest([-1, 0, 1]) AS o))"
+DIL = (
+    f"d AS (SELECT DISTINCT code AS feature, greatest((SELECT min(t) // {WIDTH} FROM e), least((SELECT max(t) // {WIDTH} FROM e), t // {WIDTH} + o)) AS bin "
+    "FROM e CROSS JOIN (SELECT unnest([-1, 0, 1]) AS o))"
+)
 
 
 def _bins(spark, sf_dir):
     e = events(spark, sf_dir).select(F.col("code").alias("feature"), "t")
-    return bins.dilated(e, "feature", "t", WIDTH, BY, 2840256, 2844575)
+    ends = [F.floor(e.agg(f("t")).scalar() / WIDTH).cast("long") for f in (F.min, F.max)]  # the log's own first and last bin
+    return bins.dilated(e, "feature", "t", WIDTH, BY, *ends)
 
 
 @query(f"WITH {E_}, {DIL} SELECT feature, bin FROM d")
@@ -149,8 +153,6 @@ def reach_inference(spark, sf_dir):
     from spindrift.operators.detect import steepest_fall
 
     e = events(spark, sf_dir)
-    marks = e.where("code = 'purchase'").withColumn("neg", -F.col("t")).withColumn("negevent", -F.col("event"))
-    marks = ranges.previous(marks, ("session",), ("neg", "negevent"), ("t",), F.floor(F.col("neg") / (7 * DAY)))
-    marks = marks.select("session", F.col("event").alias("trial"), F.col("t").alias("from"), F.col("prev_t").alias("to"))
+    marks = e.where("code = 'purchase'").select("session", F.col("event").alias("trial"), F.col("t").alias("from"))
     trace = islands.with_previous(e.where("code <> 'purchase'"), ("session",), "t", "event", ("value",)).select("session", "t", (F.col("value") - F.col("prev_value")).alias("step"))
-    return steepest_fall(marks, trace, ("session",), -5).select("trial", "t", F.round("fall", 6).alias("fall"))
+    return steepest_fall(marks, trace, ("session",), -5, 7 * DAY).select("trial", "t", F.round("fall", 6).alias("fall"))

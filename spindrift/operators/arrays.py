@@ -35,6 +35,16 @@ def derivative(df: DataFrame, sample: str, value: str) -> DataFrame:
     return df.join(before, sample, "left").withColumn("step", F.col(value) - F.coalesce("_before", value)).drop("_before")
 
 
+def block_steps(df: DataFrame, sample: str, channels: str, block: int) -> DataFrame:
+    """sample, block, y: by how much the median of each block of channels changes from the sample before, absolute; 0 for the first."""
+    v = doubles(channels)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(channels) - 1), F.lit(block))
+    own = df.select(F.col(sample), F.transform(starts, lambda s: median(F.slice(v, s + 1, F.lit(block)))).alias("_m"))
+    before = own.select((F.col(sample) + 1).alias(sample), F.col("_m").alias("_before"))
+    steps = F.zip_with("_m", F.coalesce("_before", "_m"), lambda a, b: F.abs(a - b))
+    return own.join(before, sample, "left").select(sample, F.posexplode(steps).alias("block", "y"))
+
+
 def decimate(df: DataFrame, sample: str, k: int, chunk: int) -> DataFrame:
     """Every k-th sample; counting starts anew in each chunk."""
     return df.where((F.col(sample) % chunk) % k == 0)

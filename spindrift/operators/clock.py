@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators.ranges import following, previous
+
 MODES = ("zero_or_raw", "zero_or_first", "zero_or_min", "first", "min")
 
 
@@ -50,18 +52,22 @@ def unwarp_divided(t: Column, stretch: Column | float, offset: Column | float) -
     return t / stretch - offset
 
 
-def piecewise_warp(points: DataFrame, knots: DataFrame, key: str, t: str, x: str, y: str) -> DataFrame:
+def piecewise_warp(points: DataFrame, knots: DataFrame, key: str, t: str, x: str, y: str, width: int) -> DataFrame:
     """points with ``warped``: y interpolated between the knots (key, x, y) around t, end segments extended.
 
-    Each key's knots make consecutive segments; a point takes the segment
-    that holds it, the first or last one if it lies outside. Keys with fewer
-    than two knots give null. Knots are few against points: they are gathered
-    by key into one sorted array, searched by each point.
+    Each key's knots make consecutive segments; a point takes the segment that
+    holds it, the first or last one if it lies outside. Keys with fewer than two
+    knots give null. Each knot gets the next one, and each point
+    the last knot at or before it, by looking within buckets of ``width``.
     """
-    k = knots.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("_k"))
-    joined = points.join(k, key, "left")
-    below = F.size(F.filter("_k", lambda p: p["x"] <= F.col(t)))
-    at = F.greatest(F.lit(1), F.least(below, F.size("_k") - 1))
-    a, b = F.get("_k", at - 1), F.get("_k", at)
-    line = a["y"] + (F.col(t) - a["x"]) * (b["y"] - a["y"]) / (b["x"] - a["x"])
-    return joined.withColumn("warped", F.when(F.size("_k") >= 2, line)).drop("_k")
+    k = knots.select(key, F.col(x).alias("_x"), F.col(y).cast("double").alias("_y"))
+    k = previous(k.withColumn("_neg", -F.col("_x")), (key,), ("_neg",), ("_x", "_y"), F.floor(F.col("_neg") / width))
+    segment = F.struct(F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("prev__x").alias("x2"), F.col("prev__y").alias("y2"))
+    segments = k.where("prev__x IS NOT NULL").select(key, (-F.col("_x")).alias("_at"), segment.alias("_s"))
+    ends = segments.groupBy(key).agg(F.max_by("_s", "_at").alias("_first"))  # turned round, so the largest is the first segment
+    own = points.withColumn("_neg", -F.col(t))
+    inner = following(own, segments, (key,), "_neg", "_at", "_s", width).drop("_neg", "_at")
+    before = own.join(ends, key).where(F.col(t) < F.col("_first.x")).withColumn("_s", F.col("_first")).drop("_neg", "_first")
+    line = F.col("_s.y") + (F.col(t) - F.col("_s.x")) * (F.col("_s.y2") - F.col("_s.y")) / (F.col("_s.x2") - F.col("_s.x"))
+    without = points.join(ends, key, "left_anti").withColumn("warped", F.lit(None).cast("double"))
+    return inner.unionByName(before).withColumn("warped", line).drop("_s").unionByName(without)

@@ -14,6 +14,16 @@ def windows(trials: DataFrame, trace: DataFrame, keys: tuple[str, ...], pre: int
     return joined.join(full, "trial").select(*keys, "trial", "code", "rel", "z")
 
 
+def placed(marks: DataFrame, trace: DataFrame, keys: tuple[str, ...], pre: int, post: int) -> DataFrame:
+    """The marks (keys, trial, idx) whose rows idx - pre .. idx + post - 1 all exist, as idx0, with strict: the trace goes on after the window.
+
+    Rows are numbered from 1; no window needs to be joined to find out.
+    """
+    length = trace.groupBy(*keys).agg(F.max("idx").alias("_n"))
+    at = marks.withColumnRenamed("idx", "idx0").join(length, list(keys)).where((F.col("idx0") - pre >= 1) & (F.col("idx0") + post - 1 <= F.col("_n")))
+    return at.withColumn("strict", F.col("idx0") + post - 1 < F.col("_n")).drop("_n")
+
+
 def mean_sem(w: DataFrame) -> DataFrame:
     """code, rel, n, mean, sem (population deviation over root n)."""
     return w.groupBy("code", "rel").agg(F.count("*").alias("n"), F.avg("z").alias("mean"), (F.stddev_pop("z") / F.sqrt(F.count("*"))).alias("sem"))

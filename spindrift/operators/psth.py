@@ -55,11 +55,11 @@ def floor_sd(sd: Column, mean: Column) -> Column:
     return F.when(sd < 0.1, F.greatest(F.lit(0.1), mean * 0.05 + 0.1)).otherwise(sd)
 
 
-def baseline_z(rate: DataFrame, before: int, width: int, baseline_end: int) -> DataFrame:
-    """unit, bin, z: rates against the mean and (population) deviation of the bins before baseline_end."""
+def baseline_z(rate: DataFrame, before: int, width: int, baseline_end: int, floor=floor_sd) -> DataFrame:
+    """unit, bin, z: rates against the mean and (population) deviation, not under ``floor``, of the bins before baseline_end."""
     base = F.when(centre(before, width) < baseline_end, F.col("rate"))
     stats = rate.groupBy("unit").agg(F.avg(base).alias("mean"), F.stddev_pop(base).alias("sd"))
-    return rate.join(stats, "unit").select("unit", "bin", ((F.col("rate") - F.col("mean")) / floor_sd(F.col("sd"), F.col("mean"))).alias("z"))
+    return rate.join(stats, "unit").select("unit", "bin", ((F.col("rate") - F.col("mean")) / floor(F.col("sd"), F.col("mean"))).alias("z"))
 
 
 def classify(z: DataFrame, before: int, width: int, pre: int, threshold: float) -> DataFrame:

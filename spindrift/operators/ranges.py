@@ -82,3 +82,50 @@ def previous(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], take:
     joined = own.join(before, [*keys, "_b"])
     value = F.coalesce("_p", "_before")
     return joined.withColumns({f"prev_{c}": value[c] for c in take}).drop("_b", "_p", "_last", "_before")
+
+
+def numbered(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], bucket: Column, name: str = "idx") -> DataFrame:
+    """df with the row's number by key and order, from 1: its rank within its bucket after the rows of the buckets before.
+
+    ``bucket`` must not fall along the order. No task needs all rows of a key.
+    """
+    b = df.withColumn("_b", bucket.cast("long"))
+    counts = b.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*keys, "_b", F.coalesce(before, F.lit(0)).alias("_o"))
+    own = b.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
+    return own.join(offsets, [*keys, "_b"]).withColumn(name, (F.col("_r") + F.col("_o")).cast("long")).drop("_b", "_r", "_o")
+
+
+def following(points: DataFrame, trace: DataFrame, keys: tuple[str, ...], t0: str, t: str, take: str, width: int) -> DataFrame:
+    """points with ``t`` and ``take`` of the first row of trace at or after t0, by keys; points after the last row drop out.
+
+    Rows look ahead within their bucket of ``width``, and beyond it to the
+    first row of the next filled bucket, from a table of one row a bucket. Of
+    equal times the least ``take`` comes first.
+    """
+    p = points.select(*keys, _bucket(F.col(t0), width).alias("_b"), F.col(t0).alias("_t"), F.struct(*points.columns).alias("_p"))
+    x = trace.select(*keys, _bucket(F.col(t), width).alias("_b"), F.col(t).alias("_t"), F.struct(F.col(t).alias("t"), F.col(take).alias("v")).alias("_x"))
+    both = p.unionByName(x, allowMissingColumns=True)
+    back = Window.partitionBy(*keys, "_b").orderBy(F.desc("_t"), F.col("_p").isNotNull(), F.desc("_x")).rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("_own", F.last("_x", ignorenulls=True).over(back)).where(F.col("_p").isNotNull()).select(*keys, "_b", "_p", "_own")
+    firsts = both.groupBy(*keys, "_b").agg(F.min("_x").alias("_first"))
+    ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.select(*keys, "_b", F.first("_first", ignorenulls=True).over(ahead).alias("_next"))
+    found = F.coalesce("_own", "_next")
+    joined = own.join(firsts, [*keys, "_b"]).where(found.isNotNull())
+    return joined.select("_p.*", found["t"].alias(t), found["v"].alias(take))
+
+
+def nearest_by_anchor(trials: DataFrame, spikes: DataFrame, anchors: list[tuple[str, int, int]]) -> DataFrame:
+    """trial, unit, corrected, off: for each anchor (unit, latency, tolerance) the spike nearest to t0 + latency within its own window.
+
+    corrected is the spike's time less the latency. anchors is a short list of settings.
+    """
+    spark = trials.sparkSession
+    table = F.broadcast(spark.createDataFrame(anchors, "unit string, latency long, tolerance long"))
+    aims = trials.crossJoin(table).select("trial", "unit", "latency", "tolerance", (F.col("t0") + F.col("latency")).alias("aim"))
+    widest = max(tolerance for _, _, tolerance in anchors)
+    near = nearest_in_window(aims, spikes, "aim", "t", 0, widest, ("trial", "unit", "latency", "tolerance", "aim"), ("unit",))
+    inside = (F.col("t") >= F.col("aim") - F.col("tolerance")) & (F.col("t") < F.col("aim") + F.col("tolerance"))
+    return near.where(inside).select("trial", "unit", (F.col("t") - F.col("latency")).alias("corrected"), "off")

@@ -156,7 +156,7 @@ def test_clock_rules(spark):
 def test_piecewise_warp_extends_its_ends(spark):
     knots = spark.createDataFrame([("a", 0, 0.0), ("a", 10, 20.0), ("a", 20, 30.0), ("b", 5, 1.0)], "k string, x long, y double")
     points = spark.createDataFrame([("a", -5), ("a", 5), ("a", 10), ("a", 15), ("a", 30), ("b", 5), ("c", 1)], "k string, t long")
-    got = clock.piecewise_warp(points, knots, "k", "t", "x", "y").orderBy("k", "t").collect()
+    got = clock.piecewise_warp(points, knots, "k", "t", "x", "y", 7).orderBy("k", "t").collect()
     assert [r["warped"] for r in got] == [-10.0, 10.0, 20.0, 25.0, 40.0, None, None]
 
 
