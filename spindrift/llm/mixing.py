@@ -165,9 +165,10 @@ def mix(
     spark = docs.sparkSession
     planned = spark.createDataFrame(plan, "pattern array<string>, passes long, rest long")
     # a row for each pattern, so at most MOST_PATTERNS
-    cuts = F.broadcast(staged(planned.join(_cuts(sizes_of, planned), "pattern", "left"), "cuts"))
+    cuts = staged(planned.join(_cuts(sizes_of, planned), "pattern", "left"), "cuts")
     discard(sizes_of)
-    rows = base.join(cuts, "pattern")
+    divided = not cuts.where(F.col("cut.some").between(1, F.col("cut.copies") - 1)).isEmpty()
+    rows = base.join(F.broadcast(cuts), "pattern")
     here = F.coalesce((F.col("place") == F.col("cut.place")) & F.col("cut.some").between(1, F.col("cut.copies") - 1), F.lit(False))
     before = F.coalesce(F.col("place") < F.col("cut.place"), F.lit(False))
     at = F.coalesce(F.col("place") == F.col("cut.place"), F.lit(False)) & (F.col("cut.some") > 0)
@@ -177,7 +178,7 @@ def mix(
     split = split.select("row", "size", "pattern", "passes", F.explode(F.sequence(F.lit(1).cast("long"), "cut.copies")).alias("nth"), F.col("cut.some").alias("some"))
     split = split.select("row", "size", "pattern", "passes", (F.col("nth") <= F.col("some")).cast("long").alias("extra"))
     times = F.col("passes") + F.when(F.col("passes") < most, F.col("extra")).otherwise(0)
-    result = whole.unionByName(split).select("row", "size", "pattern", times.alias("times"))
+    result = (whole.unionByName(split) if divided else whole).select("row", "size", "pattern", times.alias("times"))
     shown = [(s, float(sizes[s]), float(target[s])) for s in sizes]
     report = spark.createDataFrame(shown, "source string, source_size double, target double")
     return result.withColumn("taken", F.col("times") * F.col("size")), report
