@@ -215,9 +215,7 @@ def greedy_match(spark, sf_dir):
     e = events(spark, sf_dir)
     a = e.where("code = 'purchase'").select("session", F.col("event").alias("trial"), F.col("t").alias("t0"))
     b = e.where("code = 'click'").select("session", "t")
-    near = ranges.nearest_in_window(a, b, "t0", "t", 0, DAY, ("session", "trial", "t0"), keys=("session",)).where(F.col("off") < DAY)
-    first = near.groupBy("session", "t").agg(F.min(F.struct("t0", "trial", "off")).alias("f"))
-    return first.select("f.trial", "t", "f.off")
+    return ranges.greedy_one_to_one(a, b, "trial", "t0", "t", DAY, ("session",)).select("trial", "t", "off")
 
 
 def _zero(mode: str, sql: str):

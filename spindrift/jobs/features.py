@@ -105,7 +105,6 @@ def anchor_matches(spark, sf_dir):
 def fused_sync(spark, sf_dir):
     """A fused sync document for each day: warp, events and metadata. A document holds its day's events, which is what it is for."""
     found = ranges.nearest_by_anchor(trials(spark, sf_dir), spikes(spark, sf_dir), ANCHORS)
-    f = found.groupBy("trial").agg(F.floor(F.sum("corrected") / F.count("*")).alias("ephys"), F.count("*").alias("n"))
     f = found.groupBy("trial").agg(F.expr("sum(corrected) div count(*)").alias("ephys"), F.count("*").alias("n"))
     j = f.join(trials(spark, sf_dir), "trial").select(F.expr(f"(t0 - {EPOCH}L) div {DAY}L").alias("day"), F.col("t0").alias("bhv_us"), F.col("ephys").alias("ephys_us"), "n")
     gap = F.col("ephys_us") - F.col("bhv_us")

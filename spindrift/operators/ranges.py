@@ -53,15 +53,15 @@ def nearest_in_window(
     return best.select(*by, at.alias(t), off.alias("off"))
 
 
-def greedy_one_to_one(left: DataFrame, right: DataFrame, id0: str, t0: str, t: str, tolerance: int) -> DataFrame:
-    """In order of t0, each left row takes its nearest right row if closer than tolerance and not taken; no second choice.
+def greedy_one_to_one(left: DataFrame, right: DataFrame, id0: str, t0: str, t: str, tolerance: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """In order of t0, each left row takes its nearest right row (by keys) if closer than tolerance and not taken; no second choice.
 
     Only an accepted row takes one, so of the left rows nearest to the same
     right row the first has it.
     """
-    near = nearest_in_window(left, right, t0, t, 0, tolerance, (id0, t0)).where(F.col("off") < tolerance)
-    first = near.groupBy(t).agg(F.min(F.struct(t0, id0, "off")).alias("_f"))
-    return first.select(F.col(f"_f.{id0}").alias(id0), F.col(f"_f.{t0}").alias(t0), t, F.col("_f.off").alias("off"))
+    near = nearest_in_window(left, right, t0, t, 0, tolerance, (*keys, id0, t0), keys).where(F.col("off") < tolerance)
+    first = near.groupBy(*keys, t).agg(F.min(F.struct(t0, id0, "off")).alias("_f"))
+    return first.select(*keys, F.col(f"_f.{id0}").alias(id0), F.col(f"_f.{t0}").alias(t0), t, F.col("_f.off").alias("off"))
 
 
 def previous(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], take: tuple[str, ...], bucket: Column) -> DataFrame:
