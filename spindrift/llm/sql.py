@@ -22,25 +22,23 @@ FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source
 """
 
 
-def _pairs() -> str:
-    rows = []
-    for i, (label, text) in enumerate(licenses.PHRASES + licenses.TEMPLATES):
-        own = text.split()
-        rows += [f"({i}, '{label}', {i < len(licenses.PHRASES)}, {len(own) - 1}, {at}, '{a}', '{b}')" for at, (a, b) in enumerate(zip(own, own[1:], strict=False))]
-    return ", ".join(rows)
+def _grams() -> str:
+    return ", ".join(f"({i}, '{label}', {phrase}, {size}, {k}, {at}, '{gram}')" for i, label, phrase, size, k, at, gram in licenses.template_grams())
 
 
 LICENSES = rf"""
-WITH t(template, label, phrase, pairs, tpos, t1, t2) AS (VALUES {_pairs()}),
+WITH t(template, label, phrase, size, k, tpos, gram) AS (VALUES {_grams()}),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-r AS (SELECT doc_id, unnest(range(len(w) - 1)) AS pos, unnest(w[:-2]) AS w1, unnest(w[2:]) AS w2 FROM d WHERE len(w) > 1),
-g AS (SELECT doc_id, template, label, phrase, pairs, tpos, pos, pos - tpos AS diagonal FROM r JOIN t ON w1 = t1 AND w2 = t2),
-e AS (SELECT doc_id, label, count(*) AS votes, min(pos) AS first, pairs FROM g WHERE phrase GROUP BY doc_id, template, label, pairs, diagonal),
+q AS (SELECT doc_id, w, unnest(range(len(w))) AS pos FROM d),
+r AS (SELECT doc_id, pos, k, array_to_string(w[pos + 1 : pos + k], ' ') AS gram FROM q, (VALUES ({licenses.PAIR}), ({licenses.GRAM})) AS s(k) WHERE pos + k <= len(w)),
+g AS (SELECT doc_id, template, label, phrase, size, t.k, tpos, pos, pos - tpos AS diagonal FROM r JOIN t ON r.k = t.k AND r.gram = t.gram),
+e AS (SELECT doc_id, label, count(*) AS votes, min(pos) AS first, size - k + 1 AS grams FROM g WHERE phrase GROUP BY doc_id, template, label, size, k, diagonal),
 n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {licenses.DRIFT} THEN 1 ELSE 0 END AS fresh FROM g WHERE NOT phrase),
 m AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM n),
-u AS (SELECT doc_id, label, pairs, min(pos) AS first, max(pos) + 1 AS last, count(DISTINCT tpos) / pairs AS cover FROM m GROUP BY doc_id, template, label, pairs, run),
-v AS (SELECT doc_id, label, TRUE AS phrase, first, 1.0::DOUBLE AS cover FROM e WHERE votes = pairs UNION ALL
-      SELECT doc_id, label, FALSE, first, cover FROM u WHERE cover >= (CASE WHEN pairs < {licenses.SHORT} THEN {licenses.COVER_SHORT} ELSE {licenses.COVER_LONG} END) AND last - first <= {licenses.STRETCH} * (pairs + 1)),
+o AS (SELECT *, unnest(range(tpos, tpos + k)) AS own FROM m),
+u AS (SELECT doc_id, label, size, min(pos) AS first, max(pos + k - 1) AS last, count(DISTINCT own) / size AS cover FROM o GROUP BY doc_id, template, label, size, run),
+v AS (SELECT doc_id, label, TRUE AS phrase, first, 1.0::DOUBLE AS cover FROM e WHERE votes = grams UNION ALL
+      SELECT doc_id, label, FALSE, first, cover FROM u WHERE cover >= (CASE WHEN size < {licenses.SHORT} THEN {licenses.COVER_SHORT} ELSE {licenses.COVER_LONG} END) AND last - first <= {licenses.STRETCH} * size),
 s AS (SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(first) FILTER (phrase) AS first_word, max(first) FILTER (phrase) AS last_word,
       string_agg(DISTINCT CASE WHEN phrase THEN label END, ',' ORDER BY CASE WHEN phrase THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM v GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -62,3 +62,13 @@ def test_plan_is_native(spark, sf_dir):
 def test_repeats_of_one_place_are_no_license(documents):
     got = {r["doc_id"]: r["labels"] for r in licenses.scan(documents([(1, "source code " * 12, "en", "a"), (2, "the gnu lesser general public license", "en", "a")])).collect()}
     assert got == {1: "", 2: "gpl,lgpl"}
+
+
+def test_whole_texts(documents):
+    """Each long text is found with every fifteenth word changed, and none of its halves in another order."""
+    long = [(i, label, text.split()) for i, (label, text) in enumerate(licenses.TEMPLATES) if len(text.split()) > 40]
+    changed = [(i, "before it " + " ".join("other" if at % 15 == 7 else x for at, x in enumerate(w)) + " after it") for i, _, w in long]
+    mixed = [(1000 + i, " ".join(w[::2] + w[1::2])) for i, _, w in long]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(documents(changed + mixed)).collect()}
+    assert all(label in got[i] for i, label, _ in long) and len(long) >= 6
+    assert all(got[1000 + i] == [""] for i, _, _ in long)
