@@ -124,10 +124,26 @@ def sigma_clip_3(spark, sf_dir):
     return kept.groupBy("unit").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"), F.round(F.regr_slope(y, x) + 1, 10).alias("stretch"))
 
 
-@query(None)
+HUBER_DELTA, HUBER_ROUNDS = 120.0, 8
+
+
+def _huber_sql() -> str:
+    """One common table expression for each round: the weights of the line before, then their line."""
+    sums = "sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy"
+    line = f"SELECT unit, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS slope, (sy - slope * sx) / sw AS intercept FROM (SELECT unit, {sums} FROM w GROUP BY unit)"
+    rounds = [f"l0 AS (WITH w AS (SELECT unit, x, y, 1.0::DOUBLE AS w FROM x) {line})"]
+    for k in range(1, HUBER_ROUNDS + 1):
+        off = "abs(y - (slope * x + intercept))"
+        weighed = f"SELECT x.unit, x, y, CASE WHEN {off} <= {HUBER_DELTA} THEN 1.0::DOUBLE ELSE {HUBER_DELTA}::DOUBLE / {off} END AS w FROM x JOIN l{k - 1} l ON l.unit = x.unit"
+        rounds.append(f"l{k} AS (WITH w AS ({weighed}) {line})")
+    return f"WITH {A}, {S}, {MATCH}, {XY}, {', '.join(rounds)} SELECT unit, round(slope, 9) AS slope, round(intercept, 4) AS intercept FROM l{HUBER_ROUNDS}"
+
+
+@query(_huber_sql())
 def huber_warp(spark, sf_dir):
-    """A line of bounded influence; iterative, so tested against NumPy instead of SQL."""
-    return fit.huber(staged(xy(spark, sf_dir), "points"), "unit", "x", "y", delta=120.0)
+    """A line of bounded influence, by a fixed number of rounds of reweighting."""
+    line = fit.huber(staged(xy(spark, sf_dir), "points"), "unit", "x", "y", delta=HUBER_DELTA, rounds=HUBER_ROUNDS)
+    return line.select("unit", F.round("slope", 9).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
 #: Estimates of an event's time by each unit, weighted by how near the match was (whole parts of 1e6, so that sums are exact).
