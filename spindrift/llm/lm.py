@@ -1,11 +1,12 @@
-"""Language-model scores by deleted interpolation of bigram, unigram and uniform estimates.
+"""Language-model scores by deleted interpolation of trigram, bigram, unigram and uniform estimates.
 
-P(w | v) = l2 c(v w) / c(v) + l1 c(w) / N + l0 / (V + 1), with weights l that
-depend on the bucket (power of two) of the context's frequency c(v). The
-weights are learned by expectation-maximisation on the counts of one training
-fold (DEV), with estimates from the other training folds; scores then use
-estimates from all training folds. A text's tokens are its words, A-Z in lower
-case, then one end; the end before a text is its first word's context.
+P(w | u v) = l3 c(u v w) / c(u v) + l2 c(v w) / c(v) + l1 c(w) / N + l0 / (V + 1),
+with weights l that depend on the bucket (power of two) of the context's
+frequency: c(u v) where that context was seen, else c(v). The weights are
+learned by expectation-maximisation on the counts of one training fold (DEV),
+with estimates from the other training folds; scores then use estimates from
+all training folds. A text's tokens are its words, A-Z in lower case, then one
+end; the end before a text is its first word's context, in both orders alike.
 
 Counting and looking up go by block: BLOCK_ROWS rows of a file in a row, those
 of one kind (held out, DEV, other training). Blocks don't depend on how files
@@ -44,7 +45,7 @@ BLOCK_ROWS = 4096
 RANGE_KEYS = 2_000_000
 BUCKETS = 40
 #: Steps an octave to which held-out probabilities are rounded for learning the weights (not for scores).
-STEPS = 8
+STEPS = 2
 ROUNDS = 60
 REMEMBERED = 500_000
 END = np.uint64(0x9AE16A3B2F90404F)
@@ -83,6 +84,15 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def levels(t: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The keys of each token's unigram, bigram and trigram, by order."""
+    prev = before(t)
+    two = pair(prev, t)
+    yield 1, t
+    yield 2, two
+    yield 3, pair(np.where(prev == END, END, np.concatenate([[END], two[:-1]]).astype(np.uint64)), t)
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Unsigned 64-bit numbers, bytes of equal rank together: high zero bytes then take no room once compressed."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -115,9 +125,9 @@ def from_files(docs: DataFrame) -> DataFrame:
         return staged(docs.select("doc_id", "text"), "documents")
 
 
-def _requests(levels: dict[int, np.ndarray], block: int, bits: int) -> Iterator[tuple]:
+def _requests(t: np.ndarray, block: int, bits: int) -> Iterator[tuple]:
     """level, range, block, keys (as differences), counts."""
-    for level, keys in levels.items():
+    for level, keys in levels(t):
         distinct, n = np.unique(keys, return_counts=True)
         ranges = (distinct >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(distinct), dtype=np.int64)
         edges = np.searchsorted(ranges, np.arange((1 << bits) + 1))
@@ -136,8 +146,7 @@ def requests(given: DataFrame, bits: int) -> DataFrame:
 
         def closed():
             for block, parts in open_.items():
-                t = np.concatenate(parts)
-                for row in _requests({1: t, 2: pair(before(t), t)}, block, bits):
+                for row in _requests(np.concatenate(parts), block, bits):
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
             open_.clear()
 
@@ -199,48 +208,52 @@ def answers(asked: DataFrame) -> DataFrame:
 
 
 def _looked_up(left: pa.Table, right: pa.Table, which: str) -> tuple[np.ndarray, ...]:
-    """Tokens per text, and for each token its count, its context's, and the pair's."""
+    """Tokens per text, and for each token its count, its context's, the bigram's, the wider context's, and the trigram's."""
     t, n = tokens(texts(left.column("text")))
-    out = []
-    found = {}
-    for level in (1, 2):
-        rows = sorted((r, x) for lv, r, x in zip(right.column("level").to_pylist(), right.column("range").to_pylist(), right.column(which).to_pylist(), strict=True) if lv == level)
-        found[level] = np.concatenate([_numbers(x) for _, x in rows]).astype(np.float64)
-    prev = before(t)
-    for level, keys in ((1, t), (2, pair(prev, t))):
+    start = before(t) == END
+    asked = list(zip(right.column("level").to_pylist(), right.column("range").to_pylist(), right.column(which).to_pylist(), strict=True))
+    counts = {}
+    for level, keys in levels(t):
+        found = np.concatenate([_numbers(x) for lv, _, x in sorted(asked) if lv == level]).astype(np.float64)
         distinct, place = np.unique(keys, return_inverse=True)
-        if len(distinct) != len(found[level]):
+        if len(distinct) != len(found):
             raise RuntimeError("a block's documents differ from those that were counted")
-        out.append(found[level][place])
+        counts[level] = found[place]
         if level == 1:
-            out.append(found[1][np.searchsorted(distinct, prev)])
-    return n, *out
+            ends = found[np.searchsorted(distinct, END)]
+    context, wider = (np.where(start, ends, np.concatenate([[0], counts[level][:-1]])) for level in (1, 2))
+    return n, counts[1], context, counts[2], wider, counts[3]
 
 
-def bucket(context: np.ndarray) -> np.ndarray:
-    return np.where(context > 0, 1 + np.floor(np.log2(np.maximum(context, 1))), 0).astype(np.int64).clip(0, BUCKETS - 1)
+def bucket(context: np.ndarray, wider: np.ndarray) -> np.ndarray:
+    """That of the wider context's frequency, in the upper half of all buckets, where it was seen, else of the context's."""
+    n = np.where(wider > 0, wider, context)
+    own = np.where(n > 0, 1 + np.floor(np.log2(np.maximum(n, 1))), 0).astype(np.int64).clip(0, BUCKETS - 1)
+    return own + BUCKETS * (wider > 0)
 
 
-def parts(c: np.ndarray, context: np.ndarray, both: np.ndarray, total: float, words: float) -> np.ndarray:
-    """The three estimates of each token: uniform, unigram, bigram."""
+def parts(c: np.ndarray, context: np.ndarray, two: np.ndarray, wider: np.ndarray, three: np.ndarray, total: float, words: float) -> np.ndarray:
+    """The four estimates of each token: uniform, unigram, bigram, trigram."""
     one = c / total if total else np.zeros(len(c))
-    return np.array([np.full(len(c), 1 / (words + 1)), one, np.divide(both, context, out=np.zeros(len(c)), where=context > 0)])
-
-
-def learn(histogram: list[tuple[int, int, int, int]], words: float, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (uniform, unigram, bigram) of each bucket by expectation-maximisation; bins are (bucket, unigram, bigram, tokens)."""
-    weights = np.tile([0.05, 0.35, 0.6], (BUCKETS, 1))
-    weights[0] = [0.1, 0.9, 0.0]  # a context that wasn't seen has no bigram estimate
-    if not histogram:
-        return weights
-    b, q1, q2, n = (np.array(x) for x in zip(*histogram, strict=True))
-    p = np.array([np.full(len(b), 1 / (words + 1)), np.where(q1 < 0, 0, 2.0 ** (-q1 / STEPS)), np.where(q2 < 0, 0, 2.0 ** (-q2 / STEPS))]).T
-    for _ in range(rounds):
-        share = weights[b] * p
-        share *= (n / share.sum(axis=1))[:, None]
-        for i in np.unique(b):
-            total = share[b == i].sum(axis=0)
-            weights[i] = (total + [1e-3, 1e-3, 0]) / (total.sum() + 2e-3)
+    rest = [np.divide(x, of, out=np.zeros(len(c)), where=of > 0) for x, of in ((two, context), (three, wider))]
+    return np.array([np.full(len(c), 1 / (words + 1)), one, *rest])
+
+
+def learn(b: np.ndarray, q: np.ndarray, n: np.ndarray, words: float, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights (uniform, unigram, bigram, trigram) of each bucket by expectation-maximisation.
+
+    Of bins of held-out tokens: bucket, three estimates in steps (-1 for none), tokens. A bucket without any keeps its first weights.
+    """
+    weights = np.tile([0.05, 0.35, 0.6, 0.0], (2 * BUCKETS, 1))
+    weights[0] = [0.1, 0.9, 0.0, 0.0]  # a context that wasn't seen has no bigram estimate
+    weights[BUCKETS:] = [0.05, 0.2, 0.35, 0.4]
+    p = np.concatenate([np.full((1, len(b)), 1 / (words + 1)), np.where(q < 0, 0, 2.0 ** (-q / STEPS))])
+    met = np.unique(b)
+    for _ in range(rounds if len(b) else 0):
+        share = weights[b].T * p
+        share *= n / share.sum(axis=0)
+        total = np.array([np.bincount(b, x, minlength=2 * BUCKETS) for x in share]).T[met]
+        weights[met] = (total + [1e-3, 1e-3, 0, 0]) / (total.sum(axis=1, keepdims=True) + 2e-3)
     return weights
 
 
@@ -255,21 +268,24 @@ def score(docs: DataFrame) -> DataFrame:
     words, total, total_rest = (float(x or 0) for x in row)
 
     def bins(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        n, c, context, both = _looked_up(left, right, "n_rest")
-        p = parts(c, context, both, total_rest, words)
+        _, c, context, two, wider, three = _looked_up(left, right, "n_rest")
+        p = parts(c, context, two, wider, three, total_rest, words)
         with np.errstate(divide="ignore"):
-            q = np.where(p[1:] > 0, np.round(-STEPS * np.log2(p[1:])), -1).astype(np.int64)
-        code, m = np.unique((bucket(context) << 40) | (q[0] + 1 << 20) | (q[1] + 1), return_counts=True)
+            q = np.where(p[1:] > 0, np.round(-STEPS * np.log2(p[1:])), -1).astype(np.int64) + 1
+        code, m = np.unique(bucket(context, wider) << 48 | q[0] << 32 | q[1] << 16 | q[2], return_counts=True)
         return pa.table({"bin": pa.array(code), "n": pa.array(m.astype(np.int64))})
 
     side = given.where("block & 3 = 1").groupBy("block")
     held = side.cogroup(told.where("block & 3 = 1").groupBy("block")).applyInArrow(bins, "bin long, n long")
-    found = held.groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
-    weights = learn([(r["bin"] >> 40, (r["bin"] >> 20 & 0xFFFFF) - 1, (r["bin"] & 0xFFFFF) - 1, r["n"]) for r in found], words)
+    found = held.groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toArrow()
+    code = found.column("bin").to_numpy()
+    weights = learn(code >> 48, np.array([code >> k & 0xFFFF for k in (32, 16, 0)]) - 1, found.column("n").to_numpy(), words)
+    if not total:
+        weights[:] = [1, 0, 0, 0]
 
     def scored(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        n, c, context, both = _looked_up(left, right, "n_all")
-        p = np.einsum("ij,ji->i", weights[bucket(context)], parts(c, context, both, total, words))
+        n, c, context, two, wider, three = _looked_up(left, right, "n_all")
+        p = np.einsum("ij,ji->i", weights[bucket(context, wider)], parts(c, context, two, wider, three, total, words))
         starts = np.cumsum(n) - n
         base = np.log10((c + ADD) / (total + ADD * (words + 1)))
         kind = left.column("block").to_numpy() & 3

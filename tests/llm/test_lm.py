@@ -17,43 +17,69 @@ def fold(doc_id):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 10
 
 
-def brute(rows):
-    """Counts of every occurrence, and a second expectation-maximisation on plain numbers."""
-    uni, bi, rest_uni, rest_bi = Counter(), Counter(), Counter(), Counter()
-    for i, text in rows:
-        if (k := fold(i)) == 0:
-            continue
-        prev = None
+def expectation_maximisation(bins, words):
+    """Plain numbers, one bin at a time; bins: (bucket, steps of the three estimates) to tokens."""
+    weights = {}
+    for b, *_ in bins:
+        first = [0.05, 0.2, 0.35, 0.4] if b >= lm.BUCKETS else [0.05, 0.35, 0.6, 0.0] if b else [0.1, 0.9, 0.0, 0.0]
+        weights[b] = first
+    for _ in range(lm.ROUNDS):
+        sums = {b: [0.001, 0.001, 0.0, 0.0] for b in weights}
+        for (b, *q), n in sorted(bins.items()):
+            p = [1 / (words + 1), *[0 if x < 0 else 2 ** (-x / 2) for x in q]]
+            share = [w * x for w, x in zip(weights[b], p, strict=True)]
+            for i in range(4):
+                sums[b][i] += n * share[i] / sum(share)
+        weights = {b: [x / sum(own) for x in own] for b, own in sums.items()}
+    return weights
+
+
+class Model:
+    """Counts of every occurrence."""
+
+    def __init__(self, texts):
+        self.one, self.two, self.three = Counter(), Counter(), Counter()
+        for text in texts:
+            u = v = None
+            for w in tokens(text):
+                self.one[w] += 1
+                self.two[v, w] += 1
+                self.three[u, v, w] += 1
+                u, v = v, w
+        self.n = sum(self.one.values())
+
+    def estimates(self, text):
+        """Each word with its bucket and three estimates."""
+        u = v = None
         for w in tokens(text):
-            uni[w] += 1
-            bi[prev, w] += 1
-            if k != 1:
-                rest_uni[w] += 1
-                rest_bi[prev, w] += 1
-            prev = w
-    n, v, rest_n = sum(uni.values()), len(uni), sum(rest_uni.values())
+            c = self.one[v]
+            wide = c if v is None else self.two[u, v]
+            b = lm.BUCKETS + int(math.log2(wide)) + 1 if wide else int(math.log2(c)) + 1 if c else 0
+            yield w, b, (self.one[w] / self.n if self.n else 0, self.two[v, w] / c if c else 0, self.three[u, v, w] / wide if wide else 0)
+            u, v = v, w
+
+
+def brute(rows):
+    model = Model([t for i, t in rows if fold(i)])
+    rest = Model([t for i, t in rows if fold(i) > 1])
+    v = len(model.one)
     bins = Counter()
     for i, text in rows:
         if fold(i) == 1:
-            prev = None
-            for w in tokens(text):
-                q1 = round(-8 * math.log2(rest_uni[w] / rest_n)) if rest_uni[w] else -1
-                q2 = round(-8 * math.log2(rest_bi[prev, w] / rest_uni[prev])) if rest_bi[prev, w] else -1
-                bins[int(math.log2(rest_uni[prev])) + 1 if rest_uni[prev] else 0, q1, q2] += 1
-                prev = w
-    weights = lm.learn(sorted((*k, m) for k, m in bins.items()), v)
+            for _, b, p in rest.estimates(text):
+                bins[(b, *[round(-2 * math.log2(x)) if x else -1 for x in p])] += 1
+    weights = expectation_maximisation(bins, v)
+    unmet = lm.learn(np.zeros(0, dtype=int), np.zeros((3, 0)), np.zeros(0), v)
     out = {}
     for i, text in rows:
         base = score = known = 0
-        prev = None
-        for w in tokens(text):
-            base += math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1)))
-            known += uni[w] > 0
-            c = uni[prev]
-            l0, l1, l2 = weights[min(int(math.log2(c)) + 1, lm.BUCKETS - 1) if c else 0]
-            score += math.log10(l0 / (v + 1) + l1 * (uni[w] / n if n else 0) + l2 * (bi[prev, w] / c if c else 0))
-            prev = w
-        out[i] = (fold(i) == 0, len(tokens(text)), known, n, base, score)
+        for w, b, p in model.estimates(text):
+            c = model.one[w]
+            base += math.log10((c + 0.1) / (model.n + 0.1 * (v + 1)))
+            known += c > 0
+            own = weights.get(b, unmet[b]) if model.n else [1, 0, 0, 0]
+            score += math.log10(sum(x * y for x, y in zip(own, (1 / (v + 1), *p), strict=True)))
+        out[i] = (fold(i) == 0, len(tokens(text)), known, model.n, base, score)
     return out
 
 
@@ -81,13 +107,14 @@ def test_odd_rows_and_ranges(documents, odd_rows, monkeypatch):
     assert lm.score(documents([])).count() == 0
     only_held = [(i, "some text") for i in range(200) if fold(i) == 0][:3]
     got = lm.score(documents(only_held)).collect()
-    assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in got)
+    assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] == 0 for r in got)
+    agree(only_held, got)
 
 
 def test_weights_are_learned_and_planes_invert():
     rng = np.random.default_rng(6)
-    b = [(3, 40, 8, 90), (3, 40, -1, 10)]  # nine of ten tokens have a bigram estimate of a half
-    w = lm.learn(b, 1000)
+    b, q = np.array([3, 3]), np.array([[10, 10], [2, -1], [-1, -1]])  # nine of ten tokens have a bigram estimate of a half
+    w = lm.learn(b, q, np.array([90, 10]), 1000)
     assert w[3, 2] > 0.8 and np.allclose(w.sum(axis=1), 1)
     x = np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (np.cumsum(lm._numbers(lm._planes(np.diff(x, prepend=np.uint64(0)))), dtype=np.uint64) == x).all()
