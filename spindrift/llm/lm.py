@@ -47,7 +47,7 @@ BUCKETS = 40
 #: Steps an octave to which held-out probabilities are rounded for learning the weights (not for scores).
 STEPS = 2
 ROUNDS = 60
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 END = np.uint64(0x9AE16A3B2F90404F)
 
 
@@ -94,12 +94,16 @@ def levels(t: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Unsigned 64-bit numbers, bytes of equal rank together: high zero bytes then take no room once compressed."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Unsigned 64-bit numbers as the bytes that the largest needs (first, how many), those of equal rank together, which compresses well."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _numbers(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    low = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((low.shape[1], 8), dtype=np.uint8)
+    out[:, : raw[0]] = low.T
+    return out.view("<u8").reshape(-1)
 
 
 def blocked(docs: DataFrame) -> DataFrame:
@@ -275,8 +279,9 @@ def score(docs: DataFrame) -> DataFrame:
         code, m = np.unique(bucket(context, wider) << 48 | q[0] << 32 | q[1] << 16 | q[2], return_counts=True)
         return pa.table({"bin": pa.array(code), "n": pa.array(m.astype(np.int64))})
 
-    side = given.where("block & 3 = 1").groupBy("block")
-    held = side.cogroup(told.where("block & 3 = 1").groupBy("block")).applyInArrow(bins, "bin long, n long")
+    side = given.select("text", "block").where("block & 3 = 1").groupBy("block")
+    rest = told.select("level", "range", "block", "n_rest").where("block & 3 = 1").groupBy("block")
+    held = side.cogroup(rest).applyInArrow(bins, "bin long, n long")
     found = held.groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toArrow()
     code = found.column("bin").to_numpy()
     weights = learn(code >> 48, np.array([code >> k & 0xFFFF for k in (32, 16, 0)]) - 1, found.column("n").to_numpy(), words)
@@ -297,4 +302,5 @@ def score(docs: DataFrame) -> DataFrame:
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return given.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, schema)
+    counted = told.select("level", "range", "block", "n_all").groupBy("block")
+    return given.groupBy("block").cogroup(counted).applyInArrow(scored, schema)
