@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import langid, licenses, lm, media, mixing, multi_index, packing, pii, secrets, simhash, sql
+from spindrift.llm import langid, licenses, lm, media, mixing, multi_index, packing, pii, quality, secrets, simhash, sql
 from spindrift.llm.columns import read_documents
 
 
@@ -49,11 +49,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_documents(spark, sf_dir))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rated(read_documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii_pseudonyms, op2_source_mix, op3_lm_scores, op4_packing, op5_language_id,
-        op6_license_scan, op7_simhash_pigeonring, op8_flac_media, op9_embedding_multi_index, op10_secret_scan,
+        op6_license_scan, op7_simhash_pigeonring, op8_flac_media, op9_embedding_multi_index, op10_secret_scan, op13_quality_rules,
     )
 }
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import licenses, mixing
+from spindrift.llm import licenses, mixing, quality
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,4 +55,37 @@ c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a), n AS (SELEC
 SELECT c.vec_id, coalesce(n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.vec_id = c.vec_id
 """
 
-ORACLE_SQL = {"op2_source_mix": MIX, "op6_license_scan": LICENSES, "op9_embedding_multi_index": VECTORS}
+
+def _broken() -> str:
+    """The table of thresholds as a list of the names of broken rules."""
+    out = []
+    for r in quality.RULES:
+        m = r.measure.replace(".", "_")
+        bounds = [f"{m} < {r.low}"] * (r.low is not None) + [f"{m} > {r.high}"] * (r.high is not None)
+        out.append(f"CASE WHEN {' OR '.join(bounds)} THEN '{r.measure}' END")
+    return f"list_filter([{', '.join(out)}], lambda x: x IS NOT NULL)"
+
+
+QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{quality.WORD}') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{quality.WORD}')) AS l FROM documents),
+u AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+g AS (SELECT r, i, concat_ws(' ', {", ".join(f"lead(x, {k}) OVER o" for k in range(quality.WINDOW))}) AS g, lead(i, {quality.WINDOW - 1}) OVER o AS last FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+k AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g WHERE last IS NOT NULL),
+p AS (SELECT DISTINCT r, unnest(range(i, i + {quality.WINDOW})) AS i FROM k WHERE n > 1),
+q AS (SELECT r, count(*) AS n_repeat_words FROM p GROUP BY r),
+c AS (SELECT d.*, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+      CAST(length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+      length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS capitals, len(list_filter(w, lambda x: list_contains({quality.STOP_WORDS}, lower(x)))) AS stop_n
+      FROM d LEFT JOIN q ON q.r = d.r),
+m AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS chars_mean, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols_share,
+      CASE WHEN n_words > 0 THEN len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) / n_words ELSE 0 END AS lettered_share, CASE WHEN letters > 0 THEN capitals / letters ELSE 0 END AS capital_share,
+      CASE WHEN n_words > 0 THEN stop_n / n_words ELSE 0 END AS stop_share, CASE WHEN len(l) > 0 THEN n_dup_lines / len(l) ELSE 0 END AS dup_line_share,
+      CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) / len(l) ELSE 0 END AS bullet_share,
+      CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) / len(l) ELSE 0 END AS ellipsis_share,
+      n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM c),
+b AS (SELECT *, {_broken()} AS broken FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(broken) = 0 AS kept, array_to_string(broken, ',') AS broken FROM b
+"""
+
+ORACLE_SQL = {"op13_quality_rules": QUALITY, "op2_source_mix": MIX, "op6_license_scan": LICENSES, "op9_embedding_multi_index": VECTORS}
