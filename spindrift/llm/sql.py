@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import licenses, mixing, quality
+from spindrift.llm import licenses, mixing, quality, repair
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -88,4 +88,51 @@ b AS (SELECT *, {_broken()} AS broken FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(broken) = 0 AS kept, array_to_string(broken, ',') AS broken FROM b
 """
 
-ORACLE_SQL = {"op13_quality_rules": QUALITY, "op2_source_mix": MIX, "op6_license_scan": LICENSES, "op9_embedding_multi_index": VECTORS}
+
+def crc32(text: str) -> str:
+    """The checksum of an expression's ASCII text, bit by bit."""
+    octets = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    bits = "list_reduce(list_prepend(xor(c, x), range(8)), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, x: {bits}), 4294967295)"
+
+
+def _ways() -> str:
+    """Turns inserted before a row: state before, state then, letters, lines."""
+    out = []
+    for before in repair.STATES:
+        for n in range(len(repair.STATES)):
+            lines, state = repair._inserted(before, n)
+            out.append(f"({before}, {state}, {n * repair.INSERT}, '{'I' * n}', [{', '.join(repr(x) for x in lines)}]::VARCHAR[])")
+    return ", ".join(out)
+
+
+#: The four states row by row, each with its least cost and audit so far as one key.
+REPAIR = rf"""
+WITH RECURSIVE b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT conv_id, turn, role, text, {crc32("k")} % 20 AS how FROM b),
+d AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS nth FROM h WHERE how <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat_ws(':', length(role), role, text))) AS i FROM d),
+u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault FROM u),
+w(before, mid, cost, letters, lines) AS (VALUES {_ways()}),
+e(mid, op, initial, after, cost) AS (VALUES (0, 'R', NULL, 2, 2), (1, 'R', NULL, 2, 2), (2, 'R', NULL, 3, 2), (3, 'R', NULL, 2, 2), (0, 'D', NULL, 0, 3), (1, 'D', NULL, 1, 3), (2, 'D', NULL, 2, 3), (3, 'D', NULL, 3, 3),
+      (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (3, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0)),
+r(conv_id, i, q, best, lines) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, '00000000', CAST([] AS VARCHAR[]) FROM f GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, q, min(best), arg_min(lines, best) FROM (
+    SELECT r.conv_id, f.i, e.after AS q, printf('%08d', CAST(left(r.best, 8) AS INT) + w.cost + e.cost + CASE WHEN f.fault = 3 AND e.op <> 'D' THEN 1 ELSE 0 END) || substr(r.best, 9) || w.letters || e.op AS best,
+           r.lines || w.lines || CASE e.op WHEN 'K' THEN [f.role || ':' || f.text] WHEN 'R' THEN [CASE e.after WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text] ELSE CAST([] AS VARCHAR[]) END AS lines
+    FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1 JOIN w ON w.before = r.q JOIN e ON e.mid = w.mid AND (e.op = 'D' OR f.fault NOT IN (1, 2)) AND (e.initial IS NULL OR e.initial = left(f.role, 1))
+  ) GROUP BY conv_id, i, q),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+      count(*) FILTER (i > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+t(q, tail, cost, lines) AS (VALUES (0, '', 0, CAST([] AS VARCHAR[])), (1, 'II', 4, ['user:', 'assistant:']), (2, 'I', 2, ['assistant:']), (3, '', 0, CAST([] AS VARCHAR[]))),
+z AS (SELECT r.conv_id, printf('%08d', CAST(left(r.best, 8) AS INT) + t.cost) || substr(r.best, 9) || t.tail AS best, r.lines || t.lines AS lines FROM r JOIN n ON n.conv_id IS NOT DISTINCT FROM r.conv_id AND n.n = r.i JOIN t ON t.q = r.q),
+y AS (SELECT conv_id, min(best) AS best, arg_min(lines, best) AS lines FROM z GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(left(best, 8), '0') AS BIGINT) AS cost, coalesce(substr(best, 9), '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+ORACLE_SQL = {"op11_conversation_repair": REPAIR, "op13_quality_rules": QUALITY, "op2_source_mix": MIX, "op6_license_scan": LICENSES, "op9_embedding_multi_index": VECTORS}
