@@ -80,3 +80,38 @@ def hashed(pieces: DataFrame, key: str, order: tuple[str, ...], body: str, shown
 
     put = pieces.select(*dict.fromkeys([*names, *order])).repartition(key).sortWithinPartitions(key, *order)
     return staged(put.mapInArrow(rows, schema), "hashed")
+
+
+def pieced(df: DataFrame, key: str, order: tuple[str, ...], body: str, by: bytes, size: int = 1 << 16) -> DataFrame:
+    """key, part, nth, body: the bodies of a key's rows in order, joined with ``by`` to pieces of about ``size`` bytes; empty bodies are left out."""
+
+    def rows(batches):
+        part, now, nth, held, n = part_number(), None, 0, [], 0
+        out: list[tuple] = []
+
+        def close():
+            if held:
+                out.append((now, part, nth, by.join(held)))
+
+        for batch in batches:
+            for k, b in zip(batch.column(key).to_pylist(), batch.column(body).to_pylist()):
+                if k != now or n >= size:
+                    close()
+                    now, nth, held, n = k, (nth + 1 if k == now else 0), [], 0
+                if b:
+                    held.append(b)
+                    n += len(b)
+            if out:
+                yield from _pieces(out, key, body)
+                out = []
+        close()
+        if out:
+            yield from _pieces(out, key, body)
+
+    placed = in_order(df.select(key, *order, body), key, *order)
+    return staged(placed.mapInArrow(rows, f"{key} string, part long, nth long, {body} binary"), "pieces")
+
+
+def _pieces(out: list[tuple], key: str, body: str) -> list[pa.RecordBatch]:
+    k, part, nth, b = zip(*out)
+    return pa.table({key: pa.array(k, pa.string()), "part": pa.array(part, pa.int64()), "nth": pa.array(nth, pa.int64()), body: pa.array(b, pa.binary())}).to_batches()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import langid, licenses, lm, media, mixing, multi_index, packing, pii, quality, repair, secrets, simhash, sql
+from spindrift.llm import langid, licenses, lm, media, mixing, multi_index, packing, pii, quality, repair, secrets, simhash, sql, trie
 from spindrift.llm.columns import read_documents
 
 
@@ -53,6 +53,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rated(read_documents(spark, sf_dir))
 
@@ -61,7 +65,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii_pseudonyms, op2_source_mix, op3_lm_scores, op4_packing, op5_language_id,
-        op6_license_scan, op7_simhash_pigeonring, op8_flac_media, op9_embedding_multi_index, op10_secret_scan, op11_conversation_repair, op13_quality_rules,
+        op6_license_scan, op7_simhash_pigeonring, op8_flac_media, op9_embedding_multi_index, op10_secret_scan, op11_conversation_repair, op12_conversation_trie, op13_quality_rules,
     )
 }
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import licenses, mixing, quality, repair
+from spindrift.llm import licenses, mixing, quality, repair, trie
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -135,4 +135,22 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
-ORACLE_SQL = {"op11_conversation_repair": REPAIR, "op13_quality_rules": QUALITY, "op2_source_mix": MIX, "op6_license_scan": LICENSES, "op9_embedding_multi_index": VECTORS}
+
+#: Every prefix as a list of its turns; each node counts at all its prefixes.
+TRIE = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat_ws(':', length(role), role, text))) AS i FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % {trie.FAMILY} AS host, CASE WHEN conv_id IS NULL THEN 0 ELSE {crc32("CAST(conv_id AS VARCHAR)")} % {trie.BORROWED} END AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS own, o.i, role, text FROM c JOIN o ON o.conv_id = c.host AND o.i <= c.h UNION ALL SELECT c.conv_id, 1, o.i, role, text FROM c JOIN o ON o.conv_id IS NOT DISTINCT FROM c.conv_id AND o.i > c.h),
+x AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS depth, {{'role': role, 'text': text}} AS turn FROM r),
+p AS (SELECT conv_id, depth, list(turn) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM x UNION ALL SELECT conv_id, 0, [] FROM c),
+m AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(coalesce(CAST(conv_id AS VARCHAR), ''), ',' ORDER BY conv_id NULLS FIRST) FILTER (ends AND conv_id IS NOT NULL), '')) AS ends_sha256 FROM m GROUP BY path, depth),
+k AS (SELECT path[1 : depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.path[n.depth].text, '[^\x20\x09-\x0D]+')) END AS own_saved FROM n LEFT JOIN k ON k.path = n.path),
+a AS (SELECT path[1 : d] AS path, sum(own_saved) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM (SELECT *, unnest(range(depth + 1)) AS d FROM v) GROUP BY 1)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN a ON a.path = v.path LEFT JOIN v AS u ON v.depth > 0 AND u.path = v.path[1 : v.depth - 1]
+"""
+
+ORACLE_SQL = {"op12_conversation_trie": TRIE, "op11_conversation_repair": REPAIR, "op13_quality_rules": QUALITY, "op2_source_mix": MIX, "op6_license_scan": LICENSES, "op9_embedding_multi_index": VECTORS}
