@@ -254,7 +254,7 @@ _SUMMARY = pa.schema([("key", pa.string()), ("parent", pa.int64()), ("id", pa.in
 _CROSSED = pa.schema([("key", pa.string()), ("parent", pa.int64()), ("id", pa.int64()), ("before", pa.int64()), ("after", pa.int64())])
 
 
-def _cut(batches):
+def _cut(batches, most_rows: int, most_bytes: int):
     """A sorted partition's rows as blocks; a block is alone if it certainly holds all rows of its conversation."""
     part, first, block, size, out, held = part_number(), True, None, 0, [], 0
 
@@ -265,7 +265,7 @@ def _cut(batches):
         columns = [batch.column(n).to_pylist() for n in ("key", "turn", "role", "text", "mark", "fault", "dropped")]
         for key, turn, role, text, mark, fault, dropped in zip(*columns):
             other = block is not None and block["key"] != key
-            if block is not None and (other or len(block["turns"]) >= BLOCK_ROWS or size >= BLOCK_BYTES):
+            if block is not None and (other or len(block["turns"]) >= most_rows or size >= most_bytes):
                 block["alone"] = other and not first and block["blk"] == 0
                 first = first and not other
                 out.append(block)
@@ -277,7 +277,7 @@ def _cut(batches):
                 for n, v in zip(_LISTS, (turn, role, text, mark, fault)):
                     block[n].append(v)
                 size += len(text) + len(role)
-            if held > BLOCK_BYTES or len(out) >= BLOCK_ROWS:
+            if held > most_bytes or len(out) >= most_rows:
                 yield from _batches(out, _BLOCK)
                 out, held = [], 0
     yield from _batches(out + ([block] if block else []), _BLOCK)
@@ -322,10 +322,10 @@ def _summaries(batches):
             yield from _batches(out, _SUMMARY)
 
 
-def _merged(table: pa.Table) -> pa.Table:
+def _merged(table: pa.Table, fan_bits: int) -> pa.Table:
     """A parent's table from its children's."""
     rows = sorted(table.to_pylist(), key=lambda r: r["id"])
-    one = {"key": rows[0]["key"], "parent": rows[0]["parent"] >> FAN_BITS, "id": rows[0]["parent"], **_flat(summed(_tables(rows))), **_joined(rows)}
+    one = {"key": rows[0]["key"], "parent": rows[0]["parent"] >> fan_bits, "id": rows[0]["parent"], **_flat(summed(_tables(rows))), **_joined(rows)}
     return pa.Table.from_pylist([one], schema=_SUMMARY)
 
 
@@ -391,18 +391,18 @@ def _earlier(blocks: DataFrame) -> DataFrame:
     return later.groupBy("key", "part", "blk").agg(F.collect_list("mark").alias("earlier"))
 
 
-def repair(rows: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES, fan_bits: int = FAN_BITS) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of every conversation.
 
     rows: key, turn, role, text, dropped; a conversation all of whose rows are dropped has none.
     """
     ready = in_order(rows_with_faults(rows), "key", "turn", "mark")
-    blocks = staged(ready.mapInArrow(_cut, BLOCK), "blocks")
+    blocks = staged(ready.mapInArrow(lambda b: _cut(b, block_rows, block_bytes), BLOCK), "blocks")
     alone = staged(blocks.where("alone").mapInArrow(_whole, f"{RESULT}, audit string, repaired_sha256 string"), "alone")
     opened = blocks.where("not alone").drop("alone")
     marked = staged(opened.join(_earlier(opened), ["key", "part", "blk"], "left"), "marked")
     discard(blocks)
-    ended, states = _ends(marked)
+    ended, states = _ends(marked, fan_bits)
     pieces = marked.join(states, ["key", "part", "blk"]).mapInArrow(_pieces, "key string, part long, blk long, audit string, body binary")
     last = ended.select("key", F.lit(1 << 62).alias("part"), F.lit(0).cast("long").alias("blk"), "audit", "body")
     text = hashed(pieces.unionByName(last), "key", ("part", "blk"), "body", "audit").withColumnRenamed("sha256", "repaired_sha256")
@@ -411,15 +411,15 @@ def repair(rows: DataFrame) -> DataFrame:
     return both.select(from_key("key").alias("conv_id"), *[c for c in both.columns if c != "key"])
 
 
-def _ends(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _ends(marked: DataFrame, fan_bits: int) -> tuple[DataFrame, DataFrame]:
     """Every conversation's counts, cost and last state, and key, part, blk, before, after: the states at every block's ends."""
     levels = [staged(marked.mapInArrow(_summaries, SUMMARY), "tables")]
     most = levels[0].agg(F.max("parent")).first()[0] or 0
     while True:
-        levels.append(staged(levels[-1].groupBy("key", "parent").applyInArrow(_merged, SUMMARY), "tables"))
+        levels.append(staged(levels[-1].groupBy("key", "parent").applyInArrow(lambda t: _merged(t, fan_bits), SUMMARY), "tables"))
         if not most:
             break
-        most >>= FAN_BITS
+        most >>= fan_bits
     ended = staged(levels[-1].mapInArrow(_ended, f"{RESULT}, end long, audit string, body binary"), "ended")
     known = ended.select("key", F.lit(0).cast("long").alias("parent"), F.lit(START).cast("long").alias("before"), F.col("end").alias("after"))
     for level in reversed(levels[:-1]):

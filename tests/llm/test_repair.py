@@ -87,8 +87,8 @@ def expected(rows):
     return sorted(out, key=str)
 
 
-def got(spark, rows):
-    return sorted(map(tuple, repair.repair(repair.damaged(rows_of(spark, rows))).select(*COLUMNS).collect()), key=str)
+def got(spark, rows, **how):
+    return sorted(map(tuple, repair.repair(repair.damaged(rows_of(spark, rows)), **how).select(*COLUMNS).collect()), key=str)
 
 
 def made(seed, n, most, roles=("system", "user", "assistant", "assistant", "user", "tool", "", None)):
@@ -146,10 +146,8 @@ def test_equals_duckdb(spark):
 
 
 @pytest.mark.parametrize("block", [1, 3, 512])
-def test_one_conversation_over_many_tasks(spark, monkeypatch, block):
+def test_one_conversation_over_many_tasks(spark, block):
     """A conversation with most rows, cut into blocks that several levels of tables put together."""
-    monkeypatch.setattr(repair, "BLOCK_ROWS", block)
-    monkeypatch.setattr(repair, "FAN_BITS", 1)
     before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.shuffle.partitions", "9")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -157,7 +155,7 @@ def test_one_conversation_over_many_tasks(spark, monkeypatch, block):
         r = random.Random(block)
         hot = [(77, t, r.choice(["user", "assistant", "system"]), r.choice(["Same.", f"turn {t}", f"turn {t}.", ""])) for t in range(400)]
         rows = made(3, 20, 6) + hot + [(99, 1, "user", "One copy of many.")] * 60
-        assert got(spark, rows) == expected(rows)
+        assert got(spark, rows, block_rows=block, fan_bits=1) == expected(rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
