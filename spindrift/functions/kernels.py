@@ -26,39 +26,76 @@ def butterworth_bandpass(order: int, low: float, high: float, rate: float) -> np
     return sos
 
 
-def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """One section along the first axis; z are the two states, a row for each column of x."""
-    out, (z0, z1) = np.empty_like(x), z
-    b0, b1, b2, a1, a2 = *b.tolist(), *a.tolist()
-    for i, v in enumerate(x.tolist() if x.ndim == 1 else x):
-        y = b0 * v + z0
-        z0, z1 = b1 * v - a1 * y + z1, b2 * v - a2 * y
-        out[i] = y
+#: Samples that one matrix product filters, and blocks that are held at a time besides input and output.
+BLOCK, BLOCKS_HELD = 64, 256
+
+
+def block_form(sos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A cascade of sections over ``length`` samples at once: responses to the samples and to the state, the state's drive and its carry.
+
+    With a block's samples x and the state z before it, the output is
+    ``response @ x + seen @ z`` and the state after it ``carry @ z + drive @ x``.
+    """
+    n = 2 * len(sos)
+    unit = np.eye(n + 1)
+    step, v = np.zeros((n, n + 1)), unit[n]  # what each new state is made of; what the section's input is made of
+    for s, (b0, b1, b2, _, a1, a2) in enumerate(sos):
+        y = b0 * v + unit[2 * s]
+        step[2 * s], step[2 * s + 1] = b1 * v - a1 * y + unit[2 * s + 1], b2 * v - a2 * y
+        v = y
+    carry, enters = step[:, :n], step[:, n]
+    seen, drive = np.empty((length, n)), np.empty((n, length))
+    row, column = v[:n], enters
+    for i in range(length):
+        seen[i], drive[:, length - 1 - i] = row, column
+        row, column = row @ carry, carry @ column
+    impulse = np.concatenate([[v[n]], seen[:-1] @ enters])
+    lag = np.subtract.outer(np.arange(length), np.arange(length))
+    return np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0), seen, drive, np.linalg.matrix_power(carry, length)
+
+
+def _filtered(form: tuple, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The cascade along the first axis of a matrix, from a state (a column for each of x): matrix products for blocks, a step for each block's state."""
+    response, seen, drive, carry = form
+    length, out = len(response), np.empty_like(x)
+    for at in range(0, len(x), length * BLOCKS_HELD):
+        part = x[at : at + length * BLOCKS_HELD]
+        short = -len(part) % length
+        blocks = (np.concatenate([part, np.zeros((short, x.shape[1]))]) if short else part).reshape(-1, length, x.shape[1])
+        driven, states = drive @ blocks, np.empty((len(blocks), *state.shape))
+        for k in range(len(blocks)):
+            states[k] = state
+            state = carry @ state + driven[k]
+        out[at : at + len(part)] = (response @ blocks + seen @ states).reshape(-1, x.shape[1])[: len(part)]
     return out
 
 
+def _settled(sos: np.ndarray) -> np.ndarray:
+    """The states of all sections that a constant input of 1 settles in."""
+    states, scale = [], 1.0
+    for b0, b1, b2, _, a1, a2 in sos:
+        level = (b0 + b1 + b2) / (1 + a1 + a2)
+        z1 = b2 - a2 * level
+        states += [(b1 - a1 * level + z1) * scale, z1 * scale]
+        scale *= level
+    return np.array(states)
+
+
 def filter_both_ways(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward along the first axis, with odd extension at the ends and each section started in its steady state.
 
-    The columns of a matrix are filtered side by side: the loop over time is shared by all channels.
+    The columns of a matrix are filtered side by side.
     """
     x = np.asarray(x, dtype=np.float64)
-    pad = min(len(x) - 1, 3 * (2 * len(sos) + 1))
     if len(x) == 0:
         return x
+    pad = min(len(x) - 1, 3 * (2 * len(sos) + 1))
     y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad > 0 else x
+    y = y.reshape(len(y), -1)
+    form, settled = block_form(sos, BLOCK), _settled(sos)
     for _ in range(2):
-        scale = 1.0
-        start = y[0]
-        for b0, b1, b2, _, a1, a2 in sos:
-            # the state that a constant input of 1 settles in
-            level = (b0 + b1 + b2) / (1 + a1 + a2)
-            z1 = b2 - a2 * level
-            z0 = b1 - a1 * level + z1
-            y = _section(np.array([b0, b1, b2]), np.array([a1, a2]), y, (z0 * scale * start, z1 * scale * start))
-            scale *= level
-        y = y[::-1]
-    return y[pad : len(y) - pad] if pad > 0 else y
+        y = _filtered(form, y, np.outer(settled, y[0]))[::-1]
+    return y[pad : len(y) - pad].reshape(x.shape)
 
 
 def analytic(x: np.ndarray) -> np.ndarray:
@@ -73,12 +110,50 @@ def analytic(x: np.ndarray) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(x, axis=0) * (h if x.ndim == 1 else h[:, None]), axis=0) if n else x.astype(complex)
 
 
+#: Samples whose running medians are found at a time.
+SLAB = 1 << 15
+
+
+def _window_medians(x: np.ndarray, width: int) -> np.ndarray:
+    """Medians of all windows of odd width within x.
+
+    Ranks are parted by their bits, highest first, each time zeros before
+    ones in order. A window is a range all along, and the count of zeros in
+    it tells on which side its middle rank goes on: a step a bit for all
+    windows at once, whatever their width.
+    """
+    n = len(x)
+    order = np.argsort(x, kind="stable").astype(np.int32)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.arange(n, dtype=np.int32)
+    low = np.arange(n - width + 1, dtype=np.int32)
+    high, k, middle = low + width, np.full(len(low), width // 2, np.int32), np.zeros(len(low), np.int32)
+    zeros = np.zeros(n + 1, np.int32)
+    for b in reversed(range(max(1, (n - 1).bit_length()))):
+        one = (rank >> b & 1).astype(bool)
+        np.cumsum(~one, out=zeros[1:])
+        before, upto = zeros[low], zeros[high]
+        inside = upto - before
+        up = k >= inside
+        low, high = np.where(up, zeros[n] + low - before, before), np.where(up, zeros[n] + high - upto, upto)
+        k -= inside * up
+        middle |= up.astype(np.int32) << b
+        rank = np.concatenate([rank[~one], rank[one]])
+    return x[order[middle]]
+
+
 def median_filter(x: np.ndarray, width: int) -> np.ndarray:
-    """Running median of odd width, zeros beyond the ends."""
+    """Running median of odd width, zeros beyond the ends; besides its result it holds a slab and a window of one column."""
     width |= 1
-    x = np.asarray(x, dtype=np.float64)
-    padded = np.pad(x, ((width // 2, width // 2), *[(0, 0)] * (x.ndim - 1)))
-    return np.median(np.lib.stride_tricks.sliding_window_view(padded, width, axis=0), axis=-1)
+    half, x = width // 2, np.asarray(x, dtype=np.float64)
+    flat = x.reshape(len(x), -1)
+    out = np.empty_like(flat)
+    for c in range(flat.shape[1]):
+        for a in range(0, len(x), SLAB):
+            b = min(a + SLAB, len(x))
+            inner = flat[max(0, a - half) : b + half, c]
+            out[a:b, c] = _window_medians(np.pad(inner, (max(0, half - a), max(0, b + half - len(x)))), width)
+    return out.reshape(x.shape)
 
 
 def moving_mean(x: np.ndarray, width: int) -> np.ndarray:

@@ -94,14 +94,25 @@ def car(x: np.ndarray) -> np.ndarray:
     return x - np.median(x, axis=1, keepdims=True)
 
 
+#: Channels whose filtered form a task holds at a time.
+HELD = 4
+
+
+def summed_blocks(x: np.ndarray, block: int, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The mean of f(channels) over each block's channels, of which a few are held at a time."""
+    out = np.zeros((len(x), -(-x.shape[1] // block)))
+    for i in range(out.shape[1]):
+        own = x[:, i * block : (i + 1) * block]
+        for a in range(0, own.shape[1], HELD):
+            out[:, i] += f(own[:, a : a + HELD]).sum(axis=1)
+        out[:, i] /= own.shape[1]
+    return out
+
+
 def multi_unit(chunks: DataFrame, low: float, high: float, rate: float, width: int, block: int, step: int = 1, referenced: bool = False) -> DataFrame:
     """sample, y: the root of the median-filtered band power, averaged over each block's channels (after the common reference, if asked), decimated."""
     sos = kernels.butterworth_bandpass(4, low, high, rate)
-
-    def run(x: np.ndarray) -> np.ndarray:
-        return blocks_of(kernels.envelope(car(x) if referenced else x, sos, width), block, lambda v: v.mean(axis=1))
-
-    return over_chunks(chunks, run, step)
+    return over_chunks(chunks, lambda x: summed_blocks(car(x) if referenced else x, block, lambda v: kernels.envelope(v, sos, width)), step)
 
 
 def lick_band(chunks: DataFrame, low: float, high: float, rate: float, width: int, step: int = 1) -> DataFrame:
