@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -423,7 +424,7 @@ def decode_many(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
     for i, data in enumerate(streams):
         stream = own[i] = _Stream(data)
         ends = [o for _, o in stream.points[1:]] + [len(data) - stream.first]
-        frames = []
+        frames, upto = [], 0
         for (sample, offset), end in zip(stream.points, ends, strict=True):
             start, end = stream.first + offset, stream.first + end
             n, at = _header(data, start)
@@ -432,10 +433,11 @@ def decode_many(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
             if k < 0 or aligned or k >> 10 or (k >> 6 & 15) == 15:
                 frames = []
                 break
-            if sample != sum(f[5] for f in frames):
+            if sample != upto:
                 raise Damaged("a seek point is wrong")
+            upto += n
             frames.append((sample, data, start, end, at, n, order, k >> 6 & 15))
-        if sum(f[5] for f in frames) != stream.total or not frames:
+        if not frames or upto != stream.total:
             out[i] = decode(data)
             continue
         out[i] = [None] * len(frames)
@@ -493,12 +495,26 @@ def _side_by_side(frames: list[tuple]) -> list[np.ndarray]:
 
 
 @_whole
-def seek(data: bytes, sample: int) -> int:
-    """The offset in the stream of the last listed frame that starts at or before the sample; that frame's own number must agree."""
+def seeks(data: bytes, samples: list[int]) -> list[int]:
+    """For each sample the offset in the stream of the last listed frame that starts at or before it; that frame's own number must agree.
+
+    The stream is parsed once, and a frame checked once.
+    """
     stream = _Stream(data)
-    if not stream.points:
-        return stream.first
-    first, offset = max((p for p in stream.points if p[0] <= sample), default=(0, 0))
+    points = sorted(stream.points)
+    starts = [p[0] for p in points]
+    checked: dict[int, int] = {}
+    out = []
+    for sample in samples:
+        i = bisect_right(starts, sample) - 1
+        if i not in checked:
+            checked[i] = _listed(data, stream, *points[i]) if i >= 0 else _listed(data, stream, 0, 0) if points else stream.first
+        out.append(checked[i])
+    return out
+
+
+def _listed(data: bytes, stream: _Stream, first: int, offset: int) -> int:
+    """Where a listed frame starts, if it is the one that the point names."""
     at = stream.first + offset
     _header(data, at)
     lead, number = data[at + 4], data[at + 4]
@@ -510,3 +526,7 @@ def seek(data: bytes, sample: int) -> int:
     if first != (number if data[at + 1] & 1 else number * stream.block):
         raise Damaged("a seek point is wrong")
     return at
+
+
+def seek(data: bytes, sample: int) -> int:
+    return seeks(data, [sample])[0]

@@ -49,7 +49,8 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
         for batch in sliced(batches):
             streams = [x or flac.encode(b"") for x in batch.column(1).to_pylist()]
             for doc_id, data, blocks in zip(batch.column(0).to_pylist(), streams, flac.decode_many(streams), strict=True):
-                own = [(doc_id, i, a, len(p), flac.seek(data, a), p) for i, (a, p) in enumerate(blocks)]
+                places = flac.seeks(data, [a for a, _ in blocks])
+                own = [(doc_id, i, a, len(p), at, p) for i, ((a, p), at) in enumerate(zip(blocks, places, strict=True))]
                 kinds = [pa.int64()] * 5 + [pa.binary()]
                 columns = list(zip(*own, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
@@ -82,7 +83,7 @@ def stored(docs: DataFrame) -> DataFrame:
                 out.append((
                     doc_id, n, len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-ALIGN:]),
                     len(data), hashlib.sha256(data).hexdigest(), feature(pcm), len(blocks),
-                    len({flac.seek(data, a) for a, _ in blocks}),
+                    len(set(flac.seeks(data, [a for a, _ in blocks]))),
                 ))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             columns = list(zip(*out, strict=True)) or [[]] * len(names)

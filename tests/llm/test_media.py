@@ -73,6 +73,22 @@ def test_seek_lands_on_the_frame_or_says_so():
             pass
 
 
+def test_long_streams_take_linear_time():
+    """Reading and seeking everywhere in a text eight times as long takes about eight times as long."""
+    import time
+
+    took = {}
+    for n in (1 << 20, 8 << 20):
+        raw = (b"some words of a very long text, " * (n // 32 + 1))[:n]
+        s = flac.encode(raw)
+        before = time.process_time()
+        blocks = flac.decode_many([s])[0]
+        at = flac.seeks(s, [a for a, _ in blocks])
+        took[n] = time.process_time() - before
+        assert b"".join(p for _, p in blocks) == raw and len(set(at)) == len(blocks) and at == sorted(at)
+    assert took[8 << 20] < 20 * took[1 << 20]
+
+
 def test_checksums_are_the_bitwise_ones():
     def slow(data, poly, width):
         c = 0
