@@ -10,7 +10,7 @@ from spindrift.functions import kernels
 from spindrift.functions.storage import staged
 from spindrift.jobs.registry import query
 from spindrift.jobs.tables import table
-from spindrift.operators import arrays, signals
+from spindrift.operators import arrays, features, signals
 
 RATE, CHUNK, OVERLAP = 1000.0, 4096, 256
 V = "v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS x FROM embeddings)"
@@ -147,6 +147,38 @@ def lfp_pcs(spark, sf_dir):
     return signals.session_z(signals.projected(y, signals.block_components(y, 20, 3), 20), ("block", "pc"))
 
 
+def _channels(spark, sf_dir):
+    return recording(spark, sf_dir).agg(F.max(F.size("embedding"))).first()[0]
+
+
+@query(None)
+def lfp_deflections(spark, sf_dir):
+    """The first standardised component of the slow band, over all channels and in each block, with the sign of the channels' median."""
+    return features.deflections(chunks(spark, sf_dir), 1, 100, RATE, 51, 20, _channels(spark, sf_dir), "both")
+
+
+@query(None)
+def ap_band_pcs(spark, sf_dir):
+    """The three leading components of each block's envelopes in the fast band."""
+    y = staged(features.band_envelopes(chunks(spark, sf_dir), 100, 300, RATE, 25, 2), "envelopes")
+    return features.envelope_components(y, _channels(spark, sf_dir), 20, 3)
+
+
+@query(None)
+def car_mua_pcs(spark, sf_dir):
+    """The same after the common reference."""
+    y = staged(features.band_envelopes(chunks(spark, sf_dir), 100, 300, RATE, 25, 2, referenced=True), "envelopes")
+    return features.envelope_components(y, _channels(spark, sf_dir), 20, 3)
+
+
+@query(None)
+def reward_modulation_pcs(spark, sf_dir):
+    """The components of those five channels of each block whose power in the band a reward changes most."""
+    power = features.band_power(chunks(spark, sf_dir), 30, 80, RATE, 2)
+    at = rewards(spark, sf_dir).select(F.floor(F.col("s0") / 2).alias("s0"))
+    return features.modulated_components(power, at, 4, 8, 20, 5)
+
+
 @query(None)
 def phase_amplitude_coupling(spark, sf_dir):
     slow, fast = _band(4, 8, 2), _band(30, 80)
