@@ -97,6 +97,25 @@ def numbered(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], bucke
     return own.join(offsets, [*keys, "_b"]).withColumn(name, (F.col("_r") + F.col("_o")).cast("long")).drop("_b", "_r", "_o")
 
 
+#: Rows that a task of an ordered window holds of a key, besides what it borrows.
+HELD_ROWS = 1 << 16
+
+
+def with_halo(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], bucket: Column, before: int, after: int, held: int = HELD_ROWS) -> DataFrame:
+    """df cut by key and order into blocks of ``held`` rows, each with copies of the rows up to ``before`` before it and ``after`` after it.
+
+    Adds _block, _idx (the row's number) and _own (false in copies): a window
+    over (keys, _block) by _idx that looks back and ahead no farther sees what
+    one over the whole key sees. ``bucket`` must not fall along the order.
+    """
+    size = max(held, before, after)
+    rows = numbered(df, keys, order, bucket, "_idx")
+    place, own = F.col("_idx") % size, F.floor(F.col("_idx") / size).cast("long")
+    blocks = F.filter(F.array(own, F.when(place >= size - before, own + 1), F.when(place < after, own - 1)), lambda b: b.isNotNull())
+    spread = rows.select("*", F.explode(blocks).alias("_block"))
+    return spread.withColumn("_own", F.col("_block") == own)
+
+
 def following(points: DataFrame, trace: DataFrame, keys: tuple[str, ...], t0: str, t: str, take: str, width: int) -> DataFrame:
     """points with ``t`` and ``take`` of the first row of trace at or after t0, by keys; points after the last row drop out.
 
