@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.jobs import alignment, audits, clocks, features, recording, settings, traces, trains
+from spindrift.jobs import alignment, audits, clocks, features, frames, recording, settings, traces, trains
 from spindrift.jobs.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "alignment", "audits", "clocks", "features", "recording", "settings", "traces", "trains"]
+__all__ = ["ORACLE_SQL", "QUERIES", "alignment", "audits", "clocks", "features", "frames", "recording", "settings", "traces", "trains"]
