@@ -67,6 +67,66 @@ def read_recording(spark: SparkSession, path: str, n_channels: int, **options) -
     return spark.read.format("int16_recording").options(path=path, nChannels=n_channels, **options).load()
 
 
+#: Samples that travel together.
+PIECE = 4096
+_FORMAT = "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat"
+
+
+def read_stored_recording(spark: SparkSession, path: str, n_channels: int, chunk: int = 900_000, overlap: int = 0, channels: list[int] | None = None) -> DataFrame:
+    """chunk, sample, core, channels of a recording in any store that Hadoop reads, in place of one that every executor mounts.
+
+    Splits are byte ranges of whole samples, which tasks read side by side; a
+    split's samples go on in pieces of PIECE, with the channels asked for
+    only, each to the chunks that it touches. So it takes one shuffle, and
+    each chunk is whole and in order in one partition. Bytes after the last
+    whole sample are an error of the format.
+    """
+    own = list(range(n_channels)) if channels is None else list(channels)
+    width = 2 * n_channels
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    total = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen() // width
+    schema = "chunk long, first long, body binary"
+    if not total:
+        return spark.createDataFrame([], RecordingSource({}).schema())
+    last = (total - 1) // chunk
+
+    def pieces(records):
+        held: list[bytes] = []
+        first = 0
+
+        def closed():
+            rows = np.frombuffer(b"".join(held), dtype="<i2").reshape(-1, n_channels)[:, own]
+            end = first + len(rows) - 1
+            for c in range(max(0, (first - overlap) // chunk), min(last, (end + overlap) // chunk) + 1):
+                low, high = max(first, c * chunk - overlap), min(end + 1, (c + 1) * chunk + overlap)
+                if high > low:
+                    yield c, low, np.ascontiguousarray(rows[low - first : high - first]).tobytes()
+
+        for offset, record in records:
+            if not held:
+                first = offset // width
+            held.append(bytes(record))
+            if len(held) == PIECE:
+                yield from closed()
+                held.clear()
+        if held:
+            yield from closed()
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, first, body in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                rows = np.frombuffer(body, dtype="<i2").reshape(-1, len(own))
+                sample = np.arange(first, first + len(rows))
+                values = pa.ListArray.from_arrays(np.arange(0, rows.size + 1, len(own), dtype=np.int32), pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c)), pa.array(sample), pa.array(sample // chunk == c), values], schema=RecordingSource.arrow())
+
+    conf = {"fixedlengthinputformat.record.length": str(width)}
+    records = spark.sparkContext.newAPIHadoopFile(path, _FORMAT, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+    found = spark.createDataFrame(records.mapPartitions(pieces), schema)
+    dealt = found.repartition(int(min(last + 1, 10_000)), "chunk").sortWithinPartitions("chunk", "first")
+    return dealt.mapInArrow(unpacked, RecordingSource({}).schema())
+
+
 def read_npy_longs(spark: SparkSession, path: str, name: str) -> DataFrame:
     """path, row, value of one-dimensional int64 .npy files, in a task for each file, through Spark's own file reader."""
 

@@ -84,3 +84,27 @@ def test_streams(spark, tmp_path):
     q = live.live_pairs(a, b, 2, 10, "1 minute").writeStream.format("memory").queryName("pairs").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r["t"] for r in spark.table("pairs").collect()) == [at(9), at(15)]
+
+
+def test_recording_in_a_store(spark, tmp_path):
+    """Read as byte ranges through Hadoop, a recording is what it is when mounted, whatever splits, chunks and overlaps."""
+    x = np.random.default_rng(9).integers(-32000, 32000, (10_007, 6)).astype("<i2")
+    path = tmp_path / "r.bin"
+    x.tofile(path)
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("mapreduce.input.fileinputformat.split.maxsize", "20000")
+    try:
+        for chunk, overlap, channels in ((3000, 250, None), (10_007, 0, [4, 1]), (700, 900, [0]), (20_000, 5, None)):
+            got = recording.read_stored_recording(spark, f"file://{path}", 6, chunk, overlap, channels).collect()
+            options = {"channels": ",".join(map(str, channels))} if channels else {}
+            want = recording.read_recording(spark, str(path), 6, chunkSamples=chunk, overlap=overlap, **options).collect()
+            key = lambda r: (r["chunk"], r["sample"])
+            if channels:
+                assert [list(r["channels"]) for r in got[:50]] == [x[r["sample"], channels].tolist() for r in got[:50]]
+            assert sorted(map(tuple, got), key=lambda r: r[:2]) == sorted(map(tuple, want), key=lambda r: r[:2])
+            assert all(b["sample"] == a["sample"] + 1 for a, b in zip(got, got[1:]) if key(a)[0] == key(b)[0])
+    finally:
+        conf.unset("mapreduce.input.fileinputformat.split.maxsize")
+    empty = tmp_path / "empty.bin"
+    empty.write_bytes(b"")
+    assert recording.read_stored_recording(spark, f"file://{empty}", 6).collect() == []
