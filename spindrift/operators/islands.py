@@ -33,8 +33,11 @@ def debounced(df: DataFrame, keys: tuple[str, ...], t: str, row: str, gap: int)
 
 
 def islands(df: DataFrame, keys: tuple[str, ...], ts: Column, gap: int, *measures: Column) -> DataFrame:
-    """keys, started, and the measures of each run of rows at most gap microseconds apart: Spark's session windows, merged map-side."""
-    whole = F.session_window(ts, F.lit(f"{gap + 1} microseconds"))
+    """keys, started, and the measures of each run of rows at most gap (1 or more) microseconds apart: Spark's session windows, merged map-side.
+
+    A session takes a row that comes just when it ends, so its gap is the largest distance within a run.
+    """
+    whole = F.session_window(ts, F.lit(f"{gap} microseconds"))
     return df.groupBy(*keys, whole.alias("_w")).agg(*measures).withColumn("started", F.col("_w.start")).drop("_w")
 
 

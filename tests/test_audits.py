@@ -47,6 +47,12 @@ def test_search_equals_all_sets(spark):
     assert sum(listed) < 0.6 * every
 
 
+def test_runs_of_bins(spark):
+    sets = spark.createDataFrame([(["a"], b) for b in (0, 1, 2, 5, 8, 9, 13, 15)] + [(["a", "b"], 4)], "features array<string>, bin long")
+    got = sorted((r["features"], r["t"]) for r in coincidence.events_of(sets, 10, 2).collect())
+    assert got == [(["a"], 10), (["a"], 50), (["a"], 85), (["a"], 140), (["a", "b"], 40)]
+
+
 def test_search_of_little(spark):
     empty = spark.createDataFrame([], "feature string, t long"), spark.createDataFrame([], "trial long, t0 long")
     assert coincidence.search(*empty, 50, 2, 3, 150)[0].collect() == []
