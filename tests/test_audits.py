@@ -5,7 +5,7 @@ import numpy as np
 
 from spindrift.functions import kernels
 from spindrift.jobs import audits
-from spindrift.operators import audit, coincidence
+from spindrift.operators import audit, coincidence, detect
 
 
 def brute(peaks, rewards, width, dilation, gap, window, most, top):
@@ -106,3 +106,53 @@ def test_window_peaks(spark):
     rewards = spark.createDataFrame([(1, 1), (2, 4), (3, 90)], "trial long, t0 long")
     got = {(g["feature"], g["trial"]): (g["t"], g["y"]) for g in audit.window_peaks(trace, rewards, 1, 2, 1.0).collect()}
     assert got == {("a", 1): (1, 3.0), ("a", 2): (4, 9.0)}
+
+
+def maxima(v):
+    """Middles of plateaus above both sides, the highest first within a twentieth of the window, at least at the median."""
+    runs = []
+    for i, x in enumerate(v):
+        if runs and v[runs[-1][0]] == x:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    tops = [(r[0] + r[-1]) // 2 for p, r, q in zip(runs, runs[1:], runs[2:]) if v[r[0]] > v[p[0]] and v[r[0]] > v[q[0]]]
+    tops, kept = [i for i in tops if v[i] >= np.percentile(v, 50)], []
+    for i in sorted(tops, key=lambda i: (v[i], i), reverse=True):
+        if all(abs(i - k) >= max(1, len(v) // 20) for k in kept):
+            kept.append(i)
+    return sorted(kept) or [int(np.argmax(v))]
+
+
+def test_multi_feature_by_definition(spark):
+    r = random.Random(12)
+    traces = [(f, t, float(r.randint(-30, 30)) / 10) for f in ("a", "b", "dip") for t in range(0, 3000, r.choice([7, 11]))]
+    rewards = [(i, r.randint(-50, 3100)) for i in range(40)] + [(99, 10**6)]
+    weights, want, every = {"a": 2.0, "b": 1.0, "dip": 1.0}, {}, set()
+    for trial, t0 in rewards:
+        scores = {}
+        for f in weights:
+            own = sorted((t, y) for g, t, y in traces if g == f and t0 - 40 <= t <= t0 + 300)
+            if len(own) >= 2:
+                v = [(-y if f == "dip" else y) for _, y in own]
+                for i in maxima(v):
+                    every.add((trial, f, *own[i]))
+                    scores[own[i][0]] = scores.get(own[i][0], 0.0) + weights[f] / 4 * max(0.0, own[i][1])
+        if len(scores) >= 2:
+            ranked = sorted((-round(s, 9), t) for t, s in scores.items())
+            span = ranked[-1][0] - ranked[0][0]
+            want[trial] = (ranked[0][1], round(-ranked[0][0], 6), round((ranked[1][0] - ranked[0][0]) / span, 6) if span else None, len(scores))
+    df = spark.createDataFrame(traces, "feature string, t long, y double"), spark.createDataFrame(rewards, "trial long, t0 long")
+    found = detect.window_candidates(*df, 40, 300, ("dip",))
+    assert {tuple(x) for x in found.collect()} == every
+    got = {g["trial"]: (g["t"], round(g["score"], 6), g["lead"] if g["lead"] is None else round(g["lead"], 6), g["n_candidates"]) for g in detect.multi_feature(found, weights).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_solenoid_peaks_query(spark, sf_dir):
+    x = np.array([r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()], dtype=np.float64)
+    step = np.abs(np.diff(np.median(x, axis=1), prepend=np.median(x[0])))
+    z = (step - step.mean()) / step.std()
+    want = kernels.peaks(z, height=2.0, distance=8).tolist()
+    assert sorted(r["sample"] for r in audits.solenoid_peaks(spark, sf_dir).collect()) == want and want
+    assert audits.multi_feature_peaks(spark, sf_dir).count() > 0
