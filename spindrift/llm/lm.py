@@ -9,8 +9,10 @@ all training folds. A text's tokens are its words, A-Z in lower case, then one
 end; the end before a text is its first word's context, in both orders alike.
 
 Counting and looking up go by block: BLOCK_ROWS rows of a file in a row, those
-of one kind (held out, DEV, other training). Blocks don't depend on how files
-are split, which may change between scans as executors come and go. A block asks once
+of one kind (held out, DEV, other training). Longer texts have blocks of their
+own, of fewer rows the longer they are (LOTS), so a block's texts have 64 MB at
+most, or it is one text. Blocks don't depend on how files are split, which may
+change between scans as executors come and go. A block asks once
 for each of its distinct n-grams, keyed by 64-bit hash; requests meet by hash
 range, where counts of all blocks are summed, and each block gets its answers
 back in the order of its keys. So a frequent n-gram costs a request for each
@@ -41,6 +43,8 @@ from spindrift.llm.columns import id_bucket, texts
 FOLDS, HELD, DEV = 10, 0, 1
 ADD = 0.1
 BLOCK_ROWS = 4096
+#: Rows that texts of up to so many bytes take their blocks from; beyond the last a text is alone.
+LOTS = tuple((16 << 10 + 2 * i, BLOCK_ROWS >> 2 * i) for i in range(6))
 #: Distinct n-grams, about, that meet in one task.
 RANGE_KEYS = 2_000_000
 BUCKETS = 40
@@ -107,12 +111,16 @@ def _numbers(raw: bytes) -> np.ndarray:
 
 
 def blocked(docs: DataFrame) -> DataFrame:
-    """doc_id, text, block of the documents; the last two bits of block are the kind: 0 held out, 1 DEV, 2 training."""
+    """doc_id, text, block, lot of the documents; the last two bits of block are the kind: 0 held out, 1 DEV, 2 training."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *_place(docs))
     fold = id_bucket("doc_id", FOLDS)
     kind = F.when(fold == HELD, 0).when(fold == DEV, 1).otherwise(2).cast("long")
-    segment = F.xxhash64("path", F.floor(F.col("row") / BLOCK_ROWS))
-    return given.select("doc_id", "text", segment.bitwiseAND(F.lit(-4)).bitwiseOR(kind).alias("block"))
+    size, lot = F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)
+    for most, n in reversed(LOTS):
+        lot = F.when(size <= most, n).otherwise(lot)
+    given = given.withColumn("lot", lot.cast("int"))
+    segment = F.xxhash64("path", "lot", F.floor(F.col("row") / F.col("lot")))
+    return given.select("doc_id", "text", segment.bitwiseAND(F.lit(-4)).bitwiseOR(kind).alias("block"), "lot")
 
 
 def _place(docs: DataFrame) -> list:
@@ -146,31 +154,30 @@ def requests(given: DataFrame, bits: int) -> DataFrame:
     names, kinds = schema.replace(",", "").split()[::2], [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[int, list[np.ndarray]] = {}
+        open_: dict[int, tuple[int, dict[int, list[np.ndarray]]]] = {}  # by lot: the segment, and its tokens by block
 
-        def closed():
-            for block, parts in open_.items():
+        def closed(lot: int):
+            for block, parts in open_.pop(lot, (0, {}))[1].items():
                 for row in _requests(np.concatenate(parts), block, bits):
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
-            open_.clear()
 
-        segment = None
         for batch in batches:
-            blocks = batch.column(1).to_numpy()
-            given = texts(batch.column(0))
-            cuts = [0, *(np.flatnonzero(np.diff(blocks >> 2)) + 1).tolist(), len(blocks)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b == a:
-                    continue
-                if segment is not None and blocks[a] >> 2 != segment:
-                    yield from closed()
-                segment = blocks[a] >> 2
-                for kind in np.unique(blocks[a:b]).tolist():
-                    own = [given[i] for i in range(a, b) if blocks[i] == kind]
-                    open_.setdefault(kind, []).append(tokens(own)[0])
-        yield from closed()
-
-    return given.select("text", "block").mapInArrow(rows, schema)
+            given, every, lots = texts(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for lot in np.unique(lots).tolist():
+                at = np.flatnonzero(lots == lot)
+                blocks = every[at]
+                cuts = [0, *(np.flatnonzero(np.diff(blocks >> 2)) + 1).tolist(), len(blocks)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    segment = int(blocks[a]) >> 2
+                    if lot in open_ and open_[lot][0] != segment:
+                        yield from closed(lot)
+                    own = open_.setdefault(lot, (segment, {}))[1]
+                    for block in np.unique(blocks[a:b]).tolist():
+                        own.setdefault(block, []).append(tokens([given[i] for i in at[a:b][blocks[a:b] == block].tolist()])[0])
+        for lot in list(open_):
+            yield from closed(lot)
+
+    return given.select("text", "block", "lot").mapInArrow(rows, schema)
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -303,4 +310,4 @@ def score(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     counted = told.select("level", "range", "block", "n_all").groupBy("block")
-    return given.groupBy("block").cogroup(counted).applyInArrow(scored, schema)
+    return given.drop("lot").groupBy("block").cogroup(counted).applyInArrow(scored, schema)

@@ -143,3 +143,20 @@ def test_blocks_may_be_split_between_scans(spark, tmp_path, monkeypatch):
             assert all(abs(a - b) < 1e-6 for r, w in zip(got, whole, strict=True) for a, b in zip(r[5:], w[5:], strict=True))
     finally:
         spark.conf.set(size, before)
+
+
+def test_blocks_of_long_texts_give_the_same_scores(documents, monkeypatch):
+    """Whatever rows a text's block takes by its length, counts and scores are the same; texts of a block stay within its bytes."""
+    assert all(most * rows == 64 << 20 for most, rows in lm.LOTS)
+    texts = [f"some words {i % 7} of text {i % 13} " * (1 + 5 * (i % 11)) for i in range(300)]
+    docs = lm.from_files(documents(list(enumerate(texts))))
+    want = {r["doc_id"]: r for r in lm.score(docs).collect()}
+    monkeypatch.setattr(lm, "LOTS", ((200, 64), (800, 16), (1200, 4)))
+    sizes = {}
+    for r in lm.blocked(docs).collect():
+        sizes.setdefault(r["block"], []).append(len(r["text"]))
+    assert all(sum(v) <= 12800 or len(v) == 1 for v in sizes.values())
+    for r in lm.score(docs).collect():
+        w = want[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (w["n_tokens"], w["n_known"], w["train_tokens"], w["held_out"])
+        assert abs(r["score"] - w["score"]) < 1e-6 * abs(w["score"]) and abs(r["base_score"] - w["base_score"]) < 1e-9 * abs(w["base_score"])
