@@ -188,6 +188,10 @@ def coupling(phase: np.ndarray, amplitude: np.ndarray, width: int) -> np.ndarray
     return np.abs(moving_mean(z.real, width) + 1j * moving_mean(z.imag, width))
 
 
+#: Numbers in the windows that are compared with a template at a time.
+WINDOWED = 1 << 21
+
+
 def template_match(x: np.ndarray, template: np.ndarray) -> np.ndarray:
     """Sliding normalised cross-correlation, same size, clipped to -1..1, 0 where the signal is flat."""
     n = len(template)
@@ -195,9 +199,12 @@ def template_match(x: np.ndarray, template: np.ndarray) -> np.ndarray:
     norm = np.sqrt((t * t).sum())
     left = n // 2
     w = np.lib.stride_tricks.sliding_window_view(np.pad(np.asarray(x, dtype=np.float64), (left, n - 1 - left)), n)
-    centred = w - w.mean(axis=1, keepdims=True)
-    energy = np.sqrt((centred * centred).sum(axis=1)) * norm
-    return np.clip(np.divide(centred @ t, energy, out=np.zeros(len(w)), where=energy > 1e-12), -1, 1)
+    out, step = np.empty(len(w)), max(1, WINDOWED // n)
+    for a in range(0, len(w), step):
+        centred = w[a : a + step] - w[a : a + step].mean(axis=1, keepdims=True)
+        energy = np.sqrt((centred * centred).sum(axis=1)) * norm
+        out[a : a + step] = np.divide(centred @ t, energy, out=np.zeros(len(centred)), where=energy > 1e-12)
+    return np.clip(out, -1, 1)
 
 
 def principal(covariance: np.ndarray, n: int) -> np.ndarray:

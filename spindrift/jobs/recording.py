@@ -216,6 +216,14 @@ def ncc_template(spark, sf_dir):
     return channelwise(spark, sf_dir, lambda x: np.apply_along_axis(kernels.template_match, 0, x, template))
 
 
+@query(None)
+def ncc_by_code(spark, sf_dir):
+    """Correlation of every channel with its own mean window around the events of each of three codes."""
+    at = table(spark, sf_dir, "embeddings").where("label < 3").select(F.col("label").cast("string").alias("code"), F.col("vec_id").alias("s0"))
+    templates = features.code_templates(recording(spark, sf_dir), "vec_id", "embedding", at, 4, 12)
+    return features.template_scores(chunks(spark, sf_dir), templates)
+
+
 @query(None)
 def find_peaks_distance_prominence(spark, sf_dir):
     def run(x):

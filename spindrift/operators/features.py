@@ -174,3 +174,41 @@ def modulated_components(power: DataFrame, trials: DataFrame, pre: int, post: in
     discard(power)
     names = F.coalesce(*[F.when(F.col("part") == b, F.lit(",".join(map(str, c)))) for b, c in chosen.items()], F.lit(""))
     return out.withColumn("channels", names)
+
+
+def code_templates(df: DataFrame, sample: str, channels: str, trials: DataFrame, pre: int, post: int, least: int = 5) -> dict[str, np.ndarray]:
+    """For each code of trials (code, s0) with at least ``least`` whole windows: their mean, a row for each of pre + post samples, a column a channel.
+
+    The windows' means come to the driver: codes times window times channels.
+    """
+    spread = trials.select("code", "s0", F.explode(F.sequence(F.lit(-pre), F.lit(post - 1))).alias("rel")).withColumn("_s", F.col("s0") + F.col("rel"))
+    ends = df.agg(F.min(sample).alias("a"), F.max(sample).alias("b")).first()
+    if ends["a"] is None:
+        return {}
+    whole = spread.where((F.col("s0") - pre >= ends["a"]) & (F.col("s0") + post - 1 <= ends["b"]))
+    each = whole.join(df.select(F.col(sample).cast("long").alias("_s"), F.posexplode(F.transform(channels, lambda v: v.cast("double"))).alias("channel", "x")), "_s")
+    means = each.groupBy("code", "rel", "channel").agg(F.avg("x").alias("x"), F.count("*").alias("n")).where(F.col("n") >= least)
+    rows = means.groupBy("code", "rel").agg(F.array_sort(F.collect_list(F.struct("channel", "x"))).alias("row")).orderBy("code", "rel").toLocalIterator()
+    out: dict[str, list] = {}
+    for r in rows:
+        out.setdefault(r["code"], []).append([v["x"] for v in r["row"]])
+    return {code: np.array(v) for code, v in out.items() if len(v) == pre + post}
+
+
+def template_scores(chunks: DataFrame, templates: dict[str, np.ndarray]) -> DataFrame:
+    """code, channel, sample, y, z: each channel's normalised correlation with its own template of each code, and the session's z.
+
+    Chunks overlap by at least a window.
+    """
+    if not templates:
+        return chunks.sparkSession.createDataFrame([], "code string, channel int, sample long, y double, z double")
+    codes = sorted(templates)
+
+    def run(x: np.ndarray) -> np.ndarray:
+        return np.stack([kernels.template_match(x[:, c], templates[k][:, c]) for k in codes for c in range(x.shape[1])], axis=1)
+
+    n = templates[codes[0]].shape[1]
+    names = F.array(*[F.lit(k) for k in codes])
+    y = signals.over_chunks(chunks, run).select("sample", F.posexplode("y").alias("_i", "y"))
+    y = y.select(F.get(names, F.floor(F.col("_i") / n).cast("int")).alias("code"), (F.col("_i") % n).alias("channel"), "sample", "y")
+    return signals.session_z(y, ("code", "channel"))

@@ -21,11 +21,6 @@ from pyspark.sql import functions as F
 from spindrift.functions import kernels
 
 
-def long_form(df: DataFrame, sample: str, channels: str) -> DataFrame:
-    """sample, channel, x."""
-    return df.select(F.col(sample).cast("long").alias("sample"), F.posexplode(F.transform(channels, lambda v: v.cast("double"))).alias("channel", "x"))
-
-
 def chunked(df: DataFrame, sample: str, channels: str, chunk: int, overlap: int) -> DataFrame:
     """chunk, sample, core, channels: a table's samples dealt out by chunk and in order, with the overlap of each chunk.
 
@@ -236,41 +231,6 @@ def band_pass(series: DataFrame, keys: tuple[str, ...], low: float, high: float,
     return by_chunk(series, keys, chunk, overlap, lambda x: kernels.filter_both_ways(sos, x))
 
 
-def envelope(series: DataFrame, keys: tuple[str, ...], low: float, high: float, rate: float, width: int, chunk: int, overlap: int) -> DataFrame:
-    sos = kernels.butterworth_bandpass(4, low, high, rate)
-    return by_chunk(series, keys, chunk, overlap, lambda x: kernels.envelope(x, sos, width))
-
-
-def hilbert(series: DataFrame, keys: tuple[str, ...], low: float, high: float, rate: float, chunk: int, overlap: int) -> DataFrame:
-    """The band's amplitude."""
-    sos = kernels.butterworth_bandpass(4, low, high, rate)
-    return by_chunk(series, keys, chunk, overlap, lambda x: np.abs(kernels.analytic(kernels.filter_both_ways(sos, x))))
-
-
-def phase_amplitude(series: DataFrame, keys: tuple[str, ...], slow: tuple[float, float], fast: tuple[float, float], rate: float, width: int, chunk: int, overlap: int) -> DataFrame:
-    """Coupling of the fast band's amplitude to the slow band's phase."""
-    a, b = kernels.butterworth_bandpass(2, *slow, rate), kernels.butterworth_bandpass(4, *fast, rate)
-
-    def run(x: np.ndarray) -> np.ndarray:
-        phase = np.angle(kernels.analytic(kernels.filter_both_ways(a, x)))
-        return kernels.coupling(phase, np.abs(kernels.analytic(kernels.filter_both_ways(b, x))), width)
-
-    return by_chunk(series, keys, chunk, overlap, run)
-
-
-def density(series: DataFrame, keys: tuple[str, ...], low: float, high: float, rate: float, bin_samples: int, sigma_bins: float, chunk: int, overlap: int, deviations: float = 4.0) -> DataFrame:
-    """Threshold crossings a bin, smoothed: noise is the median absolute value over 0.6745, at least 1e-3. A chunk judges its own noise."""
-    sos = kernels.butterworth_bandpass(4, low, high, rate)
-
-    def run(x: np.ndarray) -> np.ndarray:
-        y = np.abs(kernels.filter_both_ways(sos, x))
-        over = y > deviations * max(1e-3, float(np.median(y)) / 0.6745)
-        sums = np.add.reduceat(over.astype(np.float64), np.arange(0, len(over), bin_samples)) if len(over) else np.zeros(0)
-        return np.repeat(kernels.gaussian(sums, sigma_bins) if len(sums) else sums, bin_samples)[: len(x)]
-
-    return by_chunk(series, keys, chunk, overlap, run)
-
-
 def covariance(df: DataFrame, channels: str, block: int) -> DataFrame:
     """block, i, j, c: covariances of the channels of each block; i <= j. A batch of rows adds one matrix a block."""
 
@@ -304,11 +264,6 @@ def components(df: DataFrame, channels: str, block: int, n: int) -> DataFrame:
     return covariance(df, channels, block).groupBy("block").applyInPandas(run, "block int, pc int, channel int, weight double")
 
 
-def matched(series: DataFrame, keys: tuple[str, ...], template: np.ndarray, chunk: int) -> DataFrame:
-    """Normalised cross-correlation with a template."""
-    return by_chunk(series, keys, chunk, len(template), lambda x: kernels.template_match(x, template))
-
-
 def find_peaks(series: DataFrame, keys: tuple[str, ...], chunk: int, overlap: int, **how) -> DataFrame:
     """keys, sample: peaks by height, distance and prominence, each chunk judged with its overlap."""
 

@@ -87,6 +87,20 @@ def test_median_of_a_whole_chunk():
         assert y[at, 1] == np.median(window)
 
 
+def test_template_of_a_whole_chunk():
+    """A template of 0.6 s at 2.5 kHz over a long chunk holds a few windows at a time."""
+    r = np.random.default_rng(4)
+    x, t = r.normal(size=60_000), r.normal(size=1500)
+    tracemalloc.start()
+    y = k.template_match(x, t)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 80e6
+    for i in (750, 4000, 59_000):
+        w = x[i - 750 : i + 750]
+        assert np.isclose(y[i], np.corrcoef(w, t)[0, 1])
+
+
 def test_envelope_memory_of_many_channels():
     """Of 24 channels only a few are filtered at a time: less than 500 MB for a tenth of a default chunk ten times over."""
     x = np.random.default_rng(5).normal(size=(90_000, 24))

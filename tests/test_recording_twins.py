@@ -155,3 +155,26 @@ def test_modulated_components(spark, sf_dir, whole):
         assert named[f"block_{b}"] == ",".join(map(str, chosen)) and len(chosen) == n
         want = leading(power[:, chosen], 3, True)
         assert all(alike(found[f"block_{b}", i + 1], z(want[:, i])) for i in range(min(3, n))), b
+
+
+def test_templates_by_code(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    got = {}
+    for r in recording.ncc_by_code(spark, sf_dir).where("channel % 21 = 0").collect():
+        got.setdefault((r["code"], r["channel"]), {})[r["sample"]] = (r["y"], r["z"])
+    codes = set()
+    for code in range(3):
+        at = [r["vec_id"] for r in rows if r["label"] == code and r["vec_id"] >= 4 and r["vec_id"] + 12 <= len(x)]
+        if len(at) < 5:
+            continue
+        codes.add(str(code))
+        for c in (0, 21, 42, 63):
+            t = np.mean([x[s - 4 : s + 12, c] for s in at], axis=0)
+            t = t - t.mean()
+            p = np.concatenate([np.zeros(8), x[:, c], np.zeros(7)])
+            w = np.stack([p[i : i + 16] - p[i : i + 16].mean() for i in range(len(x))])
+            want = np.clip((w @ t) / (np.sqrt((w * w).sum(1)) * np.sqrt((t * t).sum())), -1, 1)
+            own = got[str(code), c]
+            assert np.allclose([own[i][0] for i in range(len(x))], want, atol=1e-9) and np.allclose([own[i][1] for i in range(len(x))], z(want), atol=1e-7)
+    assert codes and {k for k, _ in got} == codes
