@@ -10,7 +10,7 @@ end; the end before a text is its first word's context, in both orders alike.
 
 Counting and looking up go by block: BLOCK_ROWS rows of a file in a row, those
 of one kind (held out, DEV, other training). Longer texts have blocks of their
-own, of fewer rows the longer they are (LOTS), so a block's texts have 64 MB at
+own, of fewer rows the longer they are (LOTS), so a block's texts have 128 MB at
 most, or it is one text. Blocks don't depend on how files are split, which may
 change between scans as executors come and go. A block asks once
 for each of its distinct n-grams, keyed by 64-bit hash; requests meet by hash
@@ -44,7 +44,7 @@ FOLDS, HELD, DEV = 10, 0, 1
 ADD = 0.1
 BLOCK_ROWS = 4096
 #: Rows that texts of up to so many bytes take their blocks from; beyond the last a text is alone.
-LOTS = tuple((16 << 10 + 2 * i, BLOCK_ROWS >> 2 * i) for i in range(6))
+LOTS = tuple((32 << 10 + 2 * i, BLOCK_ROWS >> 2 * i) for i in range(6))
 #: Distinct n-grams, about, that meet in one task.
 RANGE_KEYS = 2_000_000
 BUCKETS = 40

@@ -147,7 +147,7 @@ def test_blocks_may_be_split_between_scans(spark, tmp_path, monkeypatch):
 
 def test_blocks_of_long_texts_give_the_same_scores(documents, monkeypatch):
     """Whatever rows a text's block takes by its length, counts and scores are the same; texts of a block stay within its bytes."""
-    assert all(most * rows == 64 << 20 for most, rows in lm.LOTS)
+    assert all(most * rows == 128 << 20 for most, rows in lm.LOTS)
     texts = [f"some words {i % 7} of text {i % 13} " * (1 + 5 * (i % 11)) for i in range(300)]
     docs = lm.from_files(documents(list(enumerate(texts))))
     want = {r["doc_id"]: r for r in lm.score(docs).collect()}
