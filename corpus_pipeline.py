@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five words, similarity of 0.8 or more).
+    """Keeps one document of each group of near copies (five words, similarity of 0.8 or more), by SimHash and then by shared shingles.
 
     That is the one with the smallest doc_id, null last; of rows with equal
     doc_id and text one stays. Texts without words are one group.

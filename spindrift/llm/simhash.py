@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     )
 
 
-# Near copies by shingle similarity: prefixes of ordered shingles for candidates, exact shingles for the decision.
+# Near copies: fingerprints that pigeonring joins, then, for what they can't reach at that similarity, prefixes of ordered
+# shingles; exact shingles decide on the candidates of both.
 
 
 def common_shingles(docs: DataFrame, k: int = NEAR_SHINGLE, sample: int = ORDER_SAMPLE, most: int = ORDER_MOST) -> np.ndarray:
@@ -212,23 +213,49 @@ def row_keys() -> list[Column]:
 
 
 def marks(docs: DataFrame, common: np.ndarray, k: int = NEAR_SHINGLE) -> DataFrame:
-    """The row keys, size (a text's distinct shingles), prefix (the first of them), parity (their bit map)."""
+    """The row keys, fp (the fingerprint, as ``fingerprints`` has it), size (a text's distinct shingles), prefix (the first of them), parity (their bit map)."""
     order = np.argsort(common)
     known, rank = common[order], len(common) - order
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sizes, firsts, maps = [], [], []
+            fps, sizes, firsts, maps = [], [], [], []
             for x in texts(batch.column(3)):
+                fps.append(majority(shingle_hashes(x, SHINGLE)))
                 own = np.unique(shingle_hashes(x, k))
                 sizes.append(len(own))
                 firsts.append(prefix(own, known, rank))
                 maps.append(parities(own))
             lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, v)]).astype(np.int32), pa.array(np.concatenate([*v, np.zeros(0, dtype=v[0].dtype)]).view(np.int64))) for v in (firsts, maps)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), *lists], ["unnumbered", "number", "node", "size", "prefix", "parity"])
+            prints = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], prints, pa.array(sizes, pa.int32()), *lists], ["unnumbered", "number", "node", "fp", "size", "prefix", "parity"])
 
     given = docs.select(*row_keys(), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(rows, "unnumbered boolean, number long, node long, size int, prefix array<long>, parity array<long>")
+    return given.mapInArrow(rows, "unnumbered boolean, number long, node long, fp long, size int, prefix array<long>, parity array<long>")
+
+
+def print_pairs(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (reps: node, fp) whose fingerprints differ in at most 2 bits, by pigeonring chains; staged.
+
+    Of the nodes of one fingerprint the smallest stands for all: the others are
+    paired with it, and it with those of other fingerprints.
+    """
+    distinct = staged(reps.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "distinct")
+    same = reps.select("node", "fp").join(distinct.where("n > 1"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = close_links(distinct.select("fp")).select(F.col("a").alias("p"), F.col("b").alias("q"))
+    sided = links.join(distinct.select(F.col("fp").alias("p"), F.col("first").alias("x")), "p")
+    sided = sided.join(distinct.select(F.col("fp").alias("q"), F.col("first").alias("y")), "q")
+    pairs = same.unionByName(sided.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    found = staged(pairs.distinct(), "prints")
+    discard(distinct)
+    return found
+
+
+def apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) without those that nodes (node, component) link already."""
+    sided = pairs.join(nodes.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left")
+    sided = sided.join(nodes.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
+    return sided.where("x IS NULL OR y IS NULL OR x <> y").select("a", "b")
 
 
 def may_be_alike(similarity: float = SIMILARITY) -> Column:
@@ -251,7 +278,10 @@ def _sides(a: DataFrame, b: DataFrame, *on: str, extra: tuple[str, ...] = ()) ->
 
 
 def near_maps(pairs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) without those whose bit maps differ in more bits than the sets of alike ones may in shingles; staged."""
+    """The pairs (a, b) without those whose bit maps differ in more bits than the sets of alike ones may in shingles; staged.
+
+    It spares fetching the sets of pairs that ``alike`` would turn away, and finds none by itself.
+    """
     sided = pairs.join(reps.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("parity").alias("x")), "a")
     sided = sided.join(reps.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("parity").alias("y")), "b")
     sided = sided.where(F.least("sa", "sb") >= similarity * F.greatest("sa", "sb") - 1e-9)
@@ -343,25 +373,38 @@ def alike(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int = NEAR_SHIN
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without all but the smallest doc_id of each group of near copies (five words, 0.8). All columns stay.
 
+    Candidates are texts whose fingerprints pigeonring joins, as in
+    ``near_duplicates``; shingles decide on them. Fingerprints of texts at 0.8
+    may differ in any number of bits, so texts that this leaves apart meet by
+    prefixes of their shingles too: no pair at 0.8 or more is passed over.
+
     Texts that are equal but for white space and the case of A-Z count as one.
     Rows with equal doc_id and text leave one row; null ids are the last
     choice. Everything but the reading of texts runs on ids and hashes; texts
-    are shuffled once to fetch those that have candidates, and once to keep.
+    are shuffled once a step to fetch those that have candidates, and once to
+    keep.
     """
     keys = ["unnumbered", "number", "node"]
     own = marks(docs, common_shingles(docs))
     least = F.min(F.struct("unnumbered", "number")).alias("id")
-    reps = own.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("size", "prefix", "parity")])
-    reps = staged(reps.select("id.*", "node", "size", "prefix", "parity"), "reps")
+    reps = own.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("fp", "size", "prefix", "parity")])
+    reps = staged(reps.select("id.*", "node", "fp", "size", "prefix", "parity"), "reps")
+    prints = print_pairs(reps)
+    near = near_maps(prints, reps)
+    links = alike(near, docs, reps)
+    nodes = components(links)
+    discard(prints, near)
+    used = [reps, links, nodes]
     shared = shared_keys(reps)
     pairs = first_pairs(shared)
-    near = near_maps(pairs, reps)
-    links = alike(near, docs, reps)
+    near = near_maps(apart(pairs, nodes), reps)
+    more = alike(near, docs, reps)
+    links = links.unionByName(more)
     nodes = components(links)
     later = later_pairs(shared, nodes, pairs)
     discard(shared, pairs, near)
     near = near_maps(later, reps)
-    used = [reps, links, later, near, nodes]
+    used += [more, nodes, later, near]
     if not near.isEmpty():
         more = alike(near, docs, reps)
         nodes = components(links.unionByName(more))

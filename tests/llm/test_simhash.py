@@ -216,3 +216,68 @@ def test_added_and_cut_passages_are_found(documents):
     wanted = kept_by_brute_force(texts)
     assert len(wanted) < 65  # nearly every copy is at 0.8 or more
     assert {r["doc_id"] for r in simhash.deduplicated(documents(texts.items())).select("doc_id").collect()} == wanted
+
+
+def near_texts(seed):
+    """Texts with copies that differ in one to eight words, and repetitive ones whose fingerprints agree but not their shingles."""
+    rng = random.Random(seed)
+    texts = {}
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(150, 400))]
+        texts[10 * i] = " ".join(words)
+        for j in range(1, 4):
+            copy = list(words)
+            for _ in range(rng.choice((1, 1, 2, 8))):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(10**6)}"
+            texts[10 * i + j] = " ".join(copy)
+    for i in range(10):
+        line = " ".join(f"r{i}x{rng.randrange(10**6)}" for _ in range(9))
+        texts[1000 + 2 * i] = " ".join([line] * 60)
+        texts[1001 + 2 * i] = " ".join([line] * 60 + [f"end{i}x{j}" for j in range(8)])
+    return texts
+
+
+def test_near_copies_are_found_by_fingerprints_first(spark, documents, monkeypatch):
+    """Without the prefixes, near copies within 2 bits go all the same, and only they; the prefixes needn't check them again."""
+    texts = near_texts(16)
+    fps, sets = {i: fingerprint(t) for i, t in texts.items()}, {i: shingles(t) for i, t in texts.items()}
+    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    close = [(i, j) for i in texts for j in texts if i < j and (fps[i] ^ fps[j]).bit_count() <= 2]
+    assert sum(not alike(i, j) for i, j in close) >= 5  # exact shingles turn these away
+    root = {i: i for i in texts}
+    for i, j in close:  # chains of links, smallest first
+        if alike(i, j):
+            low = min(root[i], root[j])
+            root = {x: low if r in (root[i], root[j]) else r for x, r in root.items()}
+    by_prints, every = set(root.values()), kept_by_brute_force(texts)
+    assert every < by_prints < set(texts) and len(texts) - len(by_prints) >= 20
+    docs = documents(texts.items())
+    checked, plain = [], simhash.alike
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "alike", lambda pairs, *rest: checked.append({(r["a"], r["b"]) for r in pairs.collect()}) or plain(pairs, *rest))
+        assert {r["doc_id"] for r in simhash.deduplicated(docs).select("doc_id").collect()} == every
+    node = {r["number"]: r["node"] for r in docs.select(*simhash.row_keys()).collect()}
+    linked = {tuple(sorted((node[i], node[j]))) for i in texts for j in texts if i < j and root[i] == root[j]}
+    assert checked[0] & linked and not any(later & linked for later in checked[1:])
+    none = lambda *_: simhash.staged(spark.createDataFrame([], "a long, b long"), "none")
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "first_pairs", none)
+        m.setattr(simhash, "later_pairs", none)
+        assert {r["doc_id"] for r in simhash.deduplicated(docs).select("doc_id").collect()} == by_prints
+
+
+def test_pairs_by_fingerprints(spark):
+    """Pairs are within 2 bits, and link what all pairs within 2 bits link; equal fingerprints have one that stands for them."""
+    rng = random.Random(17)
+    fps = [0, 0, *[rng.getrandbits(64) for _ in range(60)]]
+    fps += [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in fps[:40]] + fps[:20]
+    middle = rng.getrandbits(64)
+    fps += [middle ^ (1 << rng.randrange(8)) for _ in range(150)]  # a crowd, many of them equal
+    reps = spark.createDataFrame([(i, signed(f)) for i, f in enumerate(fps)], "node long, fp long")
+    pairs = [(r["a"], r["b"]) for r in simhash.print_pairs(reps).collect()]
+    assert len(pairs) == len(set(pairs)) and all(a < b and (fps[a] ^ fps[b]).bit_count() <= 2 for a, b in pairs)
+    of, root = classes(fps), list(range(len(fps)))
+    for a, b in pairs:
+        low = min(root[a], root[b])
+        root = [low if r in (root[a], root[b]) else r for r in root]
+    assert root == [min(j for j, g in enumerate(fps) if of[g] == of[f]) for f in fps]
