@@ -251,13 +251,6 @@ def print_pairs(reps: DataFrame) -> DataFrame:
     return found
 
 
-def apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) without those that nodes (node, component) link already."""
-    sided = pairs.join(nodes.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left")
-    sided = sided.join(nodes.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
-    return sided.where("x IS NULL OR y IS NULL OR x <> y").select("a", "b")
-
-
 def may_be_alike(similarity: float = SIMILARITY) -> Column:
     """Whether the shingles from a shared one on (size - at, of a and of b) can suffice, as they must at the first shared one."""
     return F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= similarity / (1 + similarity) * (F.col("sa") + F.col("sb")) - 1e-9
@@ -391,20 +384,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     reps = staged(reps.select("id.*", "node", "fp", "size", "prefix", "parity"), "reps")
     prints = print_pairs(reps)
     near = near_maps(prints, reps)
-    links = alike(near, docs, reps)
-    nodes = components(links)
-    discard(prints, near)
-    used = [reps, links, nodes]
+    close = alike(near, docs, reps)
+    discard(near)
     shared = shared_keys(reps)
     pairs = first_pairs(shared)
-    near = near_maps(apart(pairs, nodes), reps)
-    more = alike(near, docs, reps)
-    links = links.unionByName(more)
+    near = near_maps(pairs.join(prints, ["a", "b"], "left_anti"), reps)  # those of fingerprints are decided
+    wide = alike(near, docs, reps)
+    links = close.unionByName(wide)
     nodes = components(links)
-    later = later_pairs(shared, nodes, pairs)
-    discard(shared, pairs, near)
+    later = later_pairs(shared, nodes, pairs.unionByName(prints))
+    discard(shared, prints, pairs, near)
     near = near_maps(later, reps)
-    used += [more, nodes, later, near]
+    used = [reps, close, wide, nodes, later, near]
     if not near.isEmpty():
         more = alike(near, docs, reps)
         nodes = components(links.unionByName(more))
