@@ -28,8 +28,8 @@ from spindrift.llm.columns import sliced, texts
 
 CAPACITY, PIECE, GROUP = 2048, 512, 1024
 END_ID = 1
-#: Words whose ids a task remembers; beyond it the memory is emptied.
-REMEMBERED = 600_000
+#: Words in each of the two generations of ids that a worker remembers, and the longest of them in bytes.
+REMEMBERED, LONGEST = 60_000, 64
 
 
 class WordIds(dict):
@@ -40,10 +40,15 @@ class WordIds(dict):
     order. Words of Latin-1 letters alone are their own normal form and one
     match of the pattern; they go to the merges directly, signs that end them
     apart. All others take the tokenizer's whole way.
+
+    When REMEMBERED words are there they become the former generation and the
+    one before it goes; a former word that comes again is taken over, so the
+    frequent ones stay and the many that come once don't fill the memory.
     """
 
     def __init__(self, path: str):
         super().__init__()
+        self.former: dict[bytes, bytes] = {}
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -69,15 +74,19 @@ class WordIds(dict):
         return b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(text))
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        core = word.rstrip(b".,!?;:")
-        found = self.letters(core) if core else None
+        found = self.former.get(word)
         if found is None:
-            found = self.encode(word.decode())
-        elif len(core) < len(word):
-            found += self[word[len(core) :]]
-        self[word] = found
+            core = word.rstrip(b".,!?;:")
+            found = self.letters(core) if core else None
+            if found is None:
+                found = self.encode(word.decode())
+            elif len(core) < len(word):
+                found += self[word[len(core) :]]
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.former = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
     def ids(self, text: bytes) -> bytes:

@@ -1,3 +1,4 @@
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -20,6 +21,17 @@ def test_word_ids_are_the_tokenizers():
         assert w.ids(s.encode()) == w.encode(s), s
 
 
+def test_word_memory_is_bounded_and_keeps_frequent_words(monkeypatch):
+    w = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    for i in range(300_000):
+        w.ids(b"often w%x" % i)
+    w.ids(b"x" * 100_000)
+    held = [*w.items(), *w.former.items()]
+    assert len(held) <= 150_000 and sum(sys.getsizeof(x) for pair in held for x in pair) < 16 << 20
+    monkeypatch.setattr(w, "letters", lambda _: 1 / 0)
+    assert w.ids(b"often") == w.encode("often")
+
+
 def check(rows, got, capacity=2048):
     by = defaultdict(list)
     for r in got:
