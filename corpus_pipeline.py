@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from spindrift.functions.storage import discard, staged
 from spindrift.llm import langid, mixing, packing, secrets, simhash
 
+#: Fewer words in packing's memory than by default: workers keep it while the executor's heap is full from the stages before.
+REMEMBERED = 60_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised, and repeated rows each; null texts and texts without a letter go."""
@@ -46,7 +49,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of the packed sequences; a text without words, or null, is the closing id alone, and each repeated row is packed."""
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [

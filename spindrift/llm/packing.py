@@ -28,8 +28,8 @@ from spindrift.llm.columns import sliced, texts
 
 CAPACITY, PIECE, GROUP = 2048, 512, 1024
 END_ID = 1
-#: Words in each of the two generations of ids that a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 60_000, 64
+#: Words in each of the two generations of ids that a worker remembers, and the longest of them in bytes; fewer take less memory and more time.
+REMEMBERED, LONGEST = 300_000, 64
 
 
 class WordIds(dict):
@@ -41,13 +41,14 @@ class WordIds(dict):
     match of the pattern; they go to the merges directly, signs that end them
     apart. All others take the tokenizer's whole way.
 
-    When REMEMBERED words are there they become the former generation and the
+    When ``remembered`` words are there they become the former generation and the
     one before it goes; a former word that comes again is taken over, so the
     frequent ones stay and the many that come once don't fill the memory.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         super().__init__()
+        self.remembered = remembered
         self.former: dict[bytes, bytes] = {}
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -83,7 +84,7 @@ class WordIds(dict):
             elif len(core) < len(word):
                 found += self[word[len(core) :]]
         if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.former = dict(self)
                 self.clear()
             self[word] = found
@@ -94,17 +95,17 @@ class WordIds(dict):
 
 
 @lru_cache(2)
-def _words(path: str) -> WordIds:
-    return WordIds(path)
+def _words(path: str, remembered: int) -> WordIds:
+    return WordIds(path, remembered)
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, piece: int = PIECE) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, piece: int = PIECE, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece. tokenizer: a file, by default of public_tokenizers on the executor."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        words = _words(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+        words = _words(tokenizer or public_tokenizers.path("word_bpe_49k.json"), remembered)
         closing = END_ID.to_bytes(4, "little")
         for batch in sliced(batches):
             out: list[list] = [[], [], [], [], []]
@@ -170,9 +171,9 @@ def windows(lengths: list[int], capacity: int) -> list[list[int]]:
         k += max(1, round(k * (most - capacity) / capacity / 4))
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece, with its sequence_id and its offset there."""
-    cut = pieces(docs, tokenizer, capacity, piece).withColumn("place", F.monotonically_increasing_id())
+    cut = pieces(docs, tokenizer, capacity, piece, remembered).withColumn("place", F.monotonically_increasing_id())
     cut = staged(cut, "pieces")
     n_groups = max(1, round(cut.count() / group))
 

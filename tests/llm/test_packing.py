@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from spindrift.llm import packing
 
 T = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -22,7 +23,7 @@ def test_word_ids_are_the_tokenizers():
 
 
 def test_word_memory_is_bounded_and_keeps_frequent_words(monkeypatch):
-    w = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    w = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"), corpus_pipeline.REMEMBERED)
     for i in range(300_000):
         w.ids(b"often w%x" % i)
     w.ids(b"x" * 100_000)
