@@ -30,6 +30,8 @@ CAPACITY, PIECE, GROUP = 2048, 512, 1024
 END_ID = 1
 #: Words in each of the two generations of ids that a worker remembers, and the longest of them in bytes; fewer take less memory and more time.
 REMEMBERED, LONGEST = 300_000, 64
+#: Signs that the word pattern parts from the letters before them.
+SIGNS = b".,!?;:#$%&*"
 
 
 class WordIds(dict):
@@ -55,6 +57,7 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.signs: dict[int, str] = {}  # of the bytes of Latin-1 letters in UTF-8
         for c in map(chr, range(0xC0, 0x100)):
             for byte, sign in zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True):
@@ -72,13 +75,16 @@ class WordIds(dict):
             if not text.isalpha() or max(text) > "\u00ff" or not text.isascii() and any("\x7f" < c < "\xc0" for c in text):
                 return None
             text = text.lower().encode().decode("latin-1").translate(self.signs)
-        return b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(text))
+        return b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(text)])
 
     def __missing__(self, word: bytes) -> bytes:
         found = self.former.get(word)
         if found is None:
-            core = word.rstrip(b".,!?;:")
-            found = self.letters(core) if core else None
+            core = word.rstrip(SIGNS)
+            if len(core) < len(word):
+                found = self.get(core) if core.isalpha() else None
+            if found is None:
+                found = self.letters(core) if core else None
             if found is None:
                 found = self.encode(word.decode())
             elif len(core) < len(word):

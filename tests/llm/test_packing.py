@@ -33,6 +33,18 @@ def test_word_memory_is_bounded_and_keeps_frequent_words(monkeypatch):
     assert w.ids(b"often") == w.encode("often")
 
 
+def test_signs_that_end_a_word_and_known_words_spare_the_tokenizer(monkeypatch):
+    w = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    words = [*(f"Wörter{sign}" for sign in ("$$$", "***", "%%%", "&&&", "###", ".#!")), "'s$", "a1$", "$a$", "<b>$", "\u0301$", "ß*"]
+    for s in words:
+        assert w.ids(s.encode()) == w.encode(s), s
+    w.ids(b"plain . ###")
+    monkeypatch.setattr(w, "encode", lambda _: 1 / 0)
+    assert w.ids("Straße$$$ other&&&".encode())
+    monkeypatch.setattr(w, "letters", lambda _: 1 / 0)
+    assert w.ids(b"plain. plain###") == b"".join(w[x] for x in (b"plain", b".", b"plain", b"###"))
+
+
 def check(rows, got, capacity=2048):
     by = defaultdict(list)
     for r in got:
