@@ -24,8 +24,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
-        large = staged(large, "links")
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b")
+        large = staged(large, "links")  # a row for each link at most; what is there twice goes with the small stars
         least = large.groupBy("a").agg(F.min("b").alias("root"))
         hooked = large.join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
         small = hooked.unionByName(least.select("a", F.col("root").alias("b"))).where("a <> b").distinct()

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.storage import discard, staged
+from spindrift.functions.storage import collect_garbage, discard, staged
 from spindrift.llm.columns import sliced, texts
 from spindrift.llm.graph import components
 
@@ -121,23 +121,26 @@ def in_budget(x: Column, i: Column, distance: int, m: int) -> Column:
     return every
 
 
-def close_links(fps: DataFrame, m: int = SEGMENTS, hot: int = HOT) -> DataFrame:
+def close_links(fps: DataFrame, m: int = SEGMENTS, hot: int = HOT, node: str = "fp") -> DataFrame:
     """Links (a, b) whose components are those of all pairs of the distinct longs ``fp`` that differ in at most 2 bits.
 
-    A link may lead over a code that isn't in fps.
+    They name the column ``node`` of fps, one to each fp. A link of a crowded
+    key leads to the smallest node within a bit of the same code.
     """
-    keys = fps.select("fp", F.explode(keyed(F.col("fp"), DISTANCE, m)).alias("key"))
+    own = list(dict.fromkeys(["fp", node]))
+    keys = fps.select(*own, F.explode(keyed(F.col("fp"), DISTANCE, m)).alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = staged(keys.join(sizes, "key"), "keys")
     few = shared.where(F.col("n") <= hot)
-    a, b = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & in_budget(x, F.col("key.i"), DISTANCE, m)).select("a", "b")
-    crowd = shared.where(F.col("n") > hot).select("fp").distinct()
+    a, b = (few.select("key", *[F.col(c).alias(f"{c}_{side}") for c in own]) for side in "ab")
+    x = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+    pairs = a.join(b, "key").where((F.col("fp_a") < F.col("fp_b")) & in_budget(x, F.col("key.i"), DISTANCE, m))
+    pairs = pairs.select(F.col(f"{node}_a").alias("a"), F.col(f"{node}_b").alias("b"))
+    crowd = shared.where(F.col("n") > hot).select(*own).distinct()
     flips = [F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(BITS)]
-    codes = crowd.select("fp", F.explode(F.array(F.col("fp"), *flips)).alias("code"))
-    common = codes.groupBy("code").agg(F.min("fp").alias("root"), F.count("*").alias("n")).where("n > 1")
-    stars = codes.join(common, "code").where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
+    codes = crowd.select(node, F.explode(F.array(F.col("fp"), *flips)).alias("code"))
+    common = codes.groupBy("code").agg(F.min(node).alias("root"), F.count("*").alias("n")).where("n > 1")
+    stars = codes.join(common, "code").where(F.col(node) != F.col("root")).select(F.col(node).alias("a"), F.col("root").alias("b"))
     return pairs.unionByName(stars)
 
 
@@ -242,10 +245,8 @@ def print_pairs(reps: DataFrame) -> DataFrame:
     """
     distinct = staged(reps.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "distinct")
     same = reps.select("node", "fp").join(distinct.where("n > 1"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    links = close_links(distinct.select("fp")).select(F.col("a").alias("p"), F.col("b").alias("q"))
-    sided = links.join(distinct.select(F.col("fp").alias("p"), F.col("first").alias("x")), "p")
-    sided = sided.join(distinct.select(F.col("fp").alias("q"), F.col("first").alias("y")), "q")
-    pairs = same.unionByName(sided.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    links = close_links(distinct.select("fp", "first"), node="first")
+    pairs = same.unionByName(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     found = staged(pairs.distinct(), "prints")
     discard(distinct)
     return found
@@ -383,23 +384,28 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     reps = own.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("fp", "size", "prefix", "parity")])
     reps = staged(reps.select("id.*", "node", "fp", "size", "prefix", "parity"), "reps")
     prints = print_pairs(reps)
+    collect_garbage(docs.sparkSession)
     near = near_maps(prints, reps)
     close = alike(near, docs, reps)
     discard(near)
+    collect_garbage(docs.sparkSession)
     shared = shared_keys(reps)
     pairs = first_pairs(shared)
+    collect_garbage(docs.sparkSession)
     near = near_maps(pairs.join(prints, ["a", "b"], "left_anti"), reps)  # those of fingerprints are decided
     wide = alike(near, docs, reps)
-    links = close.unionByName(wide)
-    nodes = components(links)
+    nodes = components(close.unionByName(wide))
+    collect_garbage(docs.sparkSession)
     later = later_pairs(shared, nodes, pairs.unionByName(prints))
     discard(shared, prints, pairs, near)
+    collect_garbage(docs.sparkSession)
     near = near_maps(later, reps)
     used = [reps, close, wide, nodes, later, near]
     if not near.isEmpty():
         more = alike(near, docs, reps)
-        nodes = components(links.unionByName(more))
+        nodes = components(more.unionByName(nodes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         used += [more, nodes]
+        collect_garbage(docs.sparkSession)
     placed = reps.select(*keys).join(nodes, "node", "left").withColumn("root", F.coalesce("component", "node"))
     kept = staged(placed.groupBy("root").agg(F.min(F.struct(*keys)).alias("k")).select("k.*"), "kept")
     discard(*used)

@@ -266,6 +266,22 @@ def test_near_copies_are_found_by_fingerprints_first(spark, documents, monkeypat
         assert {r["doc_id"] for r in simhash.deduplicated(docs).select("doc_id").collect()} == by_prints
 
 
+def test_links_name_nodes_and_phases_end_with_collected_garbage(spark, documents, monkeypatch):
+    """Links come with the nodes of their fingerprints, crowded keys or not, and the driver's heap is collected between the phases of near-dedup."""
+    rng = random.Random(18)
+    middle = rng.getrandbits(64)
+    fps = sorted({middle ^ (1 << rng.randrange(12)) ^ (1 << rng.randrange(12)) for _ in range(120)} | {rng.getrandbits(64) for _ in range(40)})
+    node = {f: 1000 - i for i, f in enumerate(fps)}
+    df = spark.createDataFrame([(signed(f), n) for f, n in node.items()], "fp long, first long")
+    of = classes(fps)
+    for hot in (4, 64):
+        got = {r["node"]: r["component"] for r in components(simhash.close_links(df, hot=hot, node="first")).collect()}
+        assert {n: got.get(n, n) for n in node.values()} == {node[f]: min(node[g] for g in fps if of[g] == of[f]) for f in fps}
+    collected = []
+    monkeypatch.setattr(simhash, "collect_garbage", collected.append)
+    assert simhash.deduplicated(documents([(i, f"a few words of text {i // 2}") for i in range(6)])).count() == 3 and len(collected) >= 5
+
+
 def test_pairs_by_fingerprints(spark):
     """Pairs are within 2 bits, and link what all pairs within 2 bits link; equal fingerprints have one that stands for them."""
     rng = random.Random(17)
