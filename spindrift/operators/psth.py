@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators import blocks
 from spindrift.operators.ranges import range_pairs
 
 
 def counts(trials: DataFrame, spikes: DataFrame, before: int, after: int, width: int) -> DataFrame:
     """unit, bin, n: spikes (unit, t) in [t0 - before, t0 + after) of trials (trial, t0), by bin of the offset."""
-    pairs = range_pairs(trials, spikes, "t0", "t", before, after)
-    place = F.floor((F.col("t") - F.col("t0") + before) / width).cast("long")
-    return pairs.groupBy("unit", place.alias("bin")).agg(F.count("*").alias("n"))
+    return blocks.counts(trials, spikes, "unit", "t0", "t", before, after, width)
 
 
 def rates(trials: DataFrame, spikes: DataFrame, before: int, after: int, width: int, per: float) -> DataFrame:
