@@ -143,8 +143,7 @@ CONF = (
 
 def _grid(spark, sf_dir):
     views = events(spark, sf_dir).where("code = 'view'").select("event", "t", "value")
-    c = ranges.range_pairs(trials(spark, sf_dir), views, "t0", "t", HOUR, HOUR)
-    f = candidates.confidence(c, "trial", "value").select("trial", "event", F.abs(F.col("t") - F.col("t0")).alias("off"), F.round("confidence", 6).alias("confidence"))
+    f = candidates.best_candidates(trials(spark, sf_dir), views, HOUR, HOUR)
     return candidates.weight_sweep(f, [0.5, 0.75, 1.0], [0.2, 0.5, 0.7]).withColumn("mae", F.round(F.col("mae") / 1e6, 4))
 
 
