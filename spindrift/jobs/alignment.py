@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.functions.storage import staged
 from spindrift.jobs.registry import query
 from spindrift.jobs.tables import DAY, E_, EPOCH, HOUR, MINUTE, SU, A, S, events, spikes, trials
-from spindrift.operators import clock, fit, psth, ranges, scores
+from spindrift.operators import blocks, clock, fit, psth, ranges, scores
 
 BEFORE, AFTER, WIDTH = HOUR, HOUR, 12 * MINUTE
 BASE_END = -6 * MINUTE
@@ -37,7 +37,7 @@ def rates(spark, sf_dir, unit="code") -> DataFrame:
 
 
 def matches(spark, sf_dir) -> DataFrame:
-    return ranges.nearest_in_window(trials(spark, sf_dir), spikes(spark, sf_dir), "t0", "t", LATENCY, TOLERANCE, ("trial", "unit", "t0"))
+    return blocks.nearest(trials(spark, sf_dir).distinct(), spikes(spark, sf_dir), "unit", LATENCY, TOLERANCE)
 
 
 def xy(spark, sf_dir) -> DataFrame:
