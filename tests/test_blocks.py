@@ -158,3 +158,14 @@ def test_nearest_without_pairs(spark):
     found = blocks.nearest(a, x.select(F.col("feature").alias("unit"), "t"), "unit", 3, 10)
     assert "Join" not in plan(found)
     assert [tuple(g) for g in found.groupBy("t", "off").count().collect()] == [(503, 0, 120_000)]
+
+
+def test_window_candidates_without_pairs(spark):
+    """Trials of one time search their window once: 20,000 windows of 20,000 rows give each the same peaks."""
+    n = 20_000
+    a = spark.range(n).select(F.col("id").alias("trial"), F.lit(500).cast("long").alias("t0"))
+    x = spark.range(n).select(F.lit("a").alias("feature"), F.col("id").alias("t"), F.when(F.col("id") == 700, 9.0).otherwise((F.col("id") % 7).cast("double")).alias("y"))
+    found = detect.window_candidates(x, a, n, n)
+    assert "Join" not in plan(found)
+    each = found.groupBy("t", "y").count().collect()
+    assert {g["count"] for g in each} == {n} and (700, 9.0) in {(g["t"], g["y"]) for g in each}
