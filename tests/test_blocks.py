@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from spindrift.operators import blocks, candidates, detect, psth, scores
+from spindrift.operators import blocks, candidates, coincidence, detect, psth, scores
 
 
 def plan(df):
@@ -169,3 +169,29 @@ def test_window_candidates_without_pairs(spark):
     assert "Join" not in plan(found)
     each = found.groupBy("t", "y").count().collect()
     assert {g["count"] for g in each} == {n} and (700, 9.0) in {(g["t"], g["y"]) for g in each}
+
+
+def test_events_over_blocks(spark):
+    """Runs that reach over blocks of bins, and sets without a common bin, as the definition has them."""
+    r = random.Random(11)
+    bins = {f: sorted({b for b in range(-700, 900) if r.random() < p and not 100 < b < 380}) for f, p in (("a", 0.98), ("b", 0.6), ("c", 0.05))} | {"d": [5000]}
+    sets = [["a", "b"], ["a", "c"], ["a", "b", "c"], ["a", "d"]]
+    single = spark.createDataFrame([(f, b) for f, own in bins.items() for b in own], "feature string, bin long")
+    for gap in (1, 2, 40):
+        common = [(s, b) for s in sets for b in set.intersection(*[set(bins[f]) for f in s])]
+        want = coincidence.events_of(spark.createDataFrame(common, "features array<string>, bin long"), 10, gap).collect()
+        got = [coincidence.events_in(single, spark.createDataFrame([(s,) for s in sets if len(s) == k], "features array<string>"), 10, gap).collect() for k in (2, 3)]
+        assert sorted(tuple(g) for part in got for g in part) == sorted(tuple(w) for w in want) and want
+
+
+def test_bounds_and_yields_of_a_crowd(spark):
+    """60,000 rewards that reach the same bins are one row; and their pairs with events are never made."""
+    n = 60_000
+    rewards = spark.range(n).select(F.col("id").alias("trial"), (F.lit(5000) + F.col("id") % 2 * 10**6).alias("t0"))
+    single = spark.createDataFrame([(f, b) for f in "ab" for b in range(480, 520)] + [("c", 480), ("c", 10**6)], "feature string, bin long")
+    sets = spark.createDataFrame([(["a", "b"],), (["a", "c"],), (["b", "d"],)], "features array<string>")
+    got = coincidence.bounds(single, sets, rewards, 10, 2, 50).collect()
+    assert {tuple(g["features"]): g["bound"] for g in got} == {("a", "b"): 0.5, ("a", "c"): 0.0}
+    events = spark.createDataFrame([(["a", "b"], t) for t in [4990, 5000, 5049, 5050] * 500], "features array<string>, t long")
+    found = coincidence.yields(rewards, events, 50)
+    assert [(g["features"], g["n"], g["hit_rate"], g["false_rate"]) for g in found.collect()] == [(["a", "b"], 2000, 0.5, 0.25)]
